@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.base import Case
 
-_PARTS = ["signal"]
+_PARTS = ["signal", "text", "shaping"]
 
 
 def cases() -> dict[str, Case]:

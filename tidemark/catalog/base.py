@@ -20,6 +20,11 @@ def r6(c: str | Column) -> Column:
     return F.round(col, 6) + F.lit(0.0)
 
 
+def nudged(c: str) -> Column:
+    """Rounding for values that can sit exactly on a half."""
+    return r6(F.col(c) + F.lit(1e-9)).alias(c)
+
+
 def show(df: DataFrame, *cols: str, **computed: Column) -> DataFrame:
     """Select columns, rounding every double."""
     out = df.select(*cols, *[c.alias(n) for n, c in computed.items()])
@@ -85,4 +90,10 @@ def sql(views: str, body: str, **ctes: str) -> str:
     parts.update(ctes)
     if not parts:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in parts.items()) + "\n" + body
+    import re
+
+    def form(name: str, text: str) -> str:
+        walks = re.search(rf"\b{name}\b", text)
+        return f"{name} AS {'' if walks else 'MATERIALIZED '}({text})"
+
+    return "WITH RECURSIVE " + ",\n".join(form(n, t) for n, t in parts.items()) + "\n" + body

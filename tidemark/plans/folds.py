@@ -50,7 +50,8 @@ def greedy_groups(
                 batch.column(at["_size"]).to_pylist(),
                 batch.column(at["_linked"]).to_pylist(),
             ):
-                if row_key != key or not joined or count >= cap or total + n > max_total:
+                full = max_rows is not None and count >= max_rows
+                if row_key != key or not joined or full or total + n > max_total:
                     key, start, count, total = row_key, p, 0, 0
                 count += 1
                 total += n
