@@ -111,8 +111,8 @@ NONBLANK = f"SELECT * FROM v_seg WHERE {strip_sql('text')} <> ''"
 
 
 def _g3(spark, base):
-    rows = seg(spark, base).select(*KEYS, "seg_no", F.posexplode(sg.split_text(F.col("text"), MAX, ENDS)).alias("piece", "part"))
-    return rows
+    pieces = F.posexplode_outer(sg.split_text(F.col("text"), MAX, ENDS)).alias("piece", "part")
+    return seg(spark, base).select(*KEYS, "seg_no", pieces).filter(F.col("part").isNotNull())
 
 
 def _g4(spark, base):
@@ -222,7 +222,7 @@ G9 = sql(
 
 
 def _g10(spark, base):
-    translated = F.when(F.col("seg_no") % 2 == 0, F.upper("text")).otherwise(F.lit("  "))
+    translated = F.when(F.col("seg_no") % 2 == 0, F.concat(F.lit("T "), F.col("text"))).otherwise(F.lit("  "))
     return seg(spark, base).select(*KEYS, "seg_no", tx.fallback_text(translated, F.col("text")).alias("shown"))
 
 
@@ -274,7 +274,7 @@ CASES = {
         _g10,
         sql(
             "v_seg",
-            f"""SELECT work_id, track_id, seg_no, CASE WHEN seg_no % 2 = 0 THEN {strip_sql('upper(text)')}
+            f"""SELECT work_id, track_id, seg_no, CASE WHEN seg_no % 2 = 0 THEN {strip_sql("('T ' || text)")}
             ELSE {strip_sql('text')} END AS shown FROM v_seg""",
         ),
     ),

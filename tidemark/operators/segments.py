@@ -88,30 +88,27 @@ def split_text(text: Column, max_chars: int, sentence_ends: str = SENTENCE_ENDS)
     def tier(s: Column, level: int) -> Column:
         if level == len(separators):
             return fixed(s)
-        parts = F.filter(F.split(s, separators[level]), lambda p: tx.strip(p) != "")
-        deeper = tier(s, level + 1)
+        parts = F.filter(F.split(s, separators[level]), lambda p: p.rlike(r"(?U)\S"))
 
         def pack(acc: Column, p: Column) -> Column:
             done, open_ = acc["done"], acc["open"]
             closed = F.when(open_ == "", done).otherwise(F.array_append(done, open_))
             fits = F.length(open_) + F.length(p) <= max_chars
             long_ = F.length(p) > max_chars
-            sub = tier_of_part(p, level + 1)
             return F.struct(
-                F.when(fits, done).when(long_, F.concat(closed, sub)).otherwise(closed).alias("done"),
+                F.when(fits, done).when(long_, F.concat(closed, smaller(p, level + 1))).otherwise(closed).alias("done"),
                 F.when(fits, F.concat(open_, p)).when(long_, F.lit("")).otherwise(p).alias("open"),
             )
 
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-        packed = F.aggregate(
+        return F.aggregate(
             parts,
             start,
             pack,
             lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])),
         )
-        return F.when(F.size(parts) <= 1, deeper).otherwise(F.filter(packed, lambda c: tx.strip(c) != ""))
 
-    def tier_of_part(p: Column, level: int) -> Column:
+    def smaller(p: Column, level: int) -> Column:
         trimmed = tx.strip(p)
         return F.when(F.length(trimmed) <= max_chars, F.array(trimmed)).otherwise(tier(trimmed, level))
 
@@ -126,29 +123,35 @@ def resplit_segments(
     """Cut long segments with :func:`split_text`, sharing time by characters, each piece at least
     ``min_gap`` long but never past the end.  Adds ``piece``; cut rows lose translation and raw text."""
     rows = segments.withColumn("_parts", split_text(F.col("text"), max_chars, sentence_ends))
-    whole = F.size("_parts") <= 1
-    total = F.aggregate("_parts", F.lit(0), lambda a, c: a + F.length(c))
-    end, count = F.col("end"), F.size("_parts")
+    end, text = F.col("end"), F.col("text")
 
     def place(acc: Column, c: Column) -> Column:
         cursor = acc["cursor"]
-        share = (end - F.col("start")) * F.length(c) / F.col("_total")
-        raw = F.when(F.size(acc["out"]) == count - 1, end).otherwise(F.least(end, cursor + share))
+        share = (end - F.col("start")) * F.length(c) / acc["total"]
+        raw = F.when(acc["left"] == 1, end).otherwise(F.least(end, cursor + share))
         stop = F.when(raw - cursor < min_gap, F.least(end, cursor + F.lit(min_gap))).otherwise(raw)
         piece = F.struct(cursor.alias("start"), stop.alias("end"), tx.strip(c).alias("text"))
-        return F.struct(stop.alias("cursor"), F.array_append(acc["out"], piece).alias("out"))
+        return F.struct(
+            stop.alias("cursor"),
+            acc["total"].alias("total"),
+            (acc["left"] - 1).alias("left"),
+            F.array_append(acc["out"], piece).alias("out"),
+        )
 
     empty = F.array().cast("array<struct<start:double,end:double,text:string>>")
-    init = F.struct(F.col("start").alias("cursor"), empty.alias("out"))
-    timed = rows.withColumn("_total", F.greatest(total, F.lit(1))).withColumn(
-        "_pieces",
-        F.when(whole, F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.col("text").alias("text"))))
-        .otherwise(F.aggregate("_parts", init, place, lambda acc: acc["out"])),
+    init = F.struct(
+        F.col("start").alias("cursor"),
+        F.aggregate("_parts", F.lit(0), lambda a, c: a + F.length(c)).alias("total"),
+        F.size("_parts").alias("left"),
+        empty.alias("out"),
     )
-    flat = timed.select(
+    uncut = F.array(F.struct(F.col("start").alias("start"), end.alias("end"), text.alias("text")))
+    pieces = F.when(F.size("_parts") <= 1, uncut).otherwise(F.aggregate("_parts", init, place, lambda acc: acc["out"]))
+    # the outer form of explode keeps the optimizer from evaluating the split a second time in a filter
+    flat = rows.withColumn("_pieces", pieces).select(
         *[c for c in segments.columns if c not in ("start", "end", "text")],
-        whole.alias("_whole"),
-        F.posexplode("_pieces").alias("piece", "_p"),
+        (F.size("_pieces") == 1).alias("_whole"),
+        F.posexplode_outer("_pieces").alias("piece", "_p"),
     )
     reset = lambda c: F.when(F.col("_whole"), F.col(c)).otherwise(F.lit(""))
     pick = {"start": F.col("_p.start"), "end": F.col("_p.end"), "text": F.col("_p.text"),
