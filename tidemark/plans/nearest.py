@@ -159,3 +159,27 @@ def window_best(
     return found.select(
         "_l.*", F.col("_found._s").alias("best_score"), *[F.col(f"_found.{n}").alias(n) for n in payload]
     )
+
+
+def count_within(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], t_left: str, t_right: str, radius: float, name: str
+) -> DataFrame:
+    """How many right rows lie at most ``radius`` from each left row (microsecond resolution).
+
+    The difference of two running counts: up to the right end, and before the left end.
+    """
+    reach = int(round(radius * _TICKS))
+    r_side = right.select(*keys, _tick(F.col(t_right)).alias("_t"), F.lit(1).alias("_r"))
+    r_side = r_side.select(*keys, "_t", F.struct("_r").alias("_r"))
+    rows = left.select(*keys, _tick(F.col(t_left)).alias("_c"), F.struct(*left.columns).alias("_l"), F.lit(0).cast("long").alias("_n"))
+
+    def sweep(rows: DataFrame, offset: int, before: bool) -> DataFrame:
+        packed = rows.select(*keys, (F.col("_c") + F.lit(offset)).alias("_t"), F.struct("_c", "_l", "_n").alias("_l"))
+        both = fit(_meet(packed, r_side, keys, left_first=before), keys, ["_t", "_side"])
+        one = F.when(F.col("_r").isNotNull(), 1).otherwise(0).cast("long")
+        out = unblock(scan(both, keys, ["_t", "_side"], {"_m": ("sum", one)})).filter(F.col("_l").isNotNull())
+        seen = F.col("_m") if not before else -F.col("_m")
+        return out.select(*keys, F.col("_l._c").alias("_c"), F.col("_l._l").alias("_l"), (F.col("_l._n") + seen).alias("_n"))
+
+    found = sweep(sweep(rows, -reach, before=True), reach, before=False)
+    return found.select("_l.*", F.col("_n").alias(name))
