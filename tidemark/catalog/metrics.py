@@ -336,7 +336,7 @@ A15 = sql(
     """SELECT threshold, round(p, 6) AS "precision", round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1,
       round(outs / nt::DOUBLE, 6) AS per_track, round(w5, 6) AS within_5, nt - used AS empty_tracks FROM (
       SELECT threshold, avg(CASE WHEN o > 0 THEN h / o::DOUBLE END) AS p, avg(c / greatest(1, n)::DOUBLE) AS r, sum(o)::BIGINT AS outs,
-        sum(h5) / sum(h)::DOUBLE AS w5, (SELECT count(*) FROM v_labelled) AS nt FROM fo GROUP BY 1) JOIN us USING (threshold)""",
+        sum(h5) / nullif(sum(h), 0)::DOUBLE AS w5, (SELECT count(*) FROM v_labelled) AS nt FROM fo GROUP BY 1) JOIN us USING (threshold)""",
     **_A15,
     aq=" UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(GRID))),
     lg=MATCH["gt"],
@@ -675,10 +675,10 @@ CASES = {
         _a20,
         sql(
             V3,
-            """SELECT count(*) AS outputs, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS "precision" FROM op""",
+            """SELECT count(*) AS outputs, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS "precision" FROM oqp""",
             **HITS,
             oh="SELECT *, coalesce(-dist, t) AS ideal FROM hd",
-            **spaced_sql("o", "oh", "ideal", 30, 3),
+            **spaced_sql("oq", "oh", "ideal", 30, 3),
         ),
     ),
     "a21_pool_size_stats": Case(

@@ -44,7 +44,7 @@ def track_key(name: Column) -> Column:
 
 def track_number(name: Column) -> Column:
     """Track number only where ``tr`` or ``track`` announces it; null otherwise."""
-    return F.nullif(F.regexp_extract(name, TRACK_STRICT, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(name, TRACK_STRICT, 1), F.lit("")).try_cast("int")
 
 
 def parent_dir(path: Column) -> Column:
