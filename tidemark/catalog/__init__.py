@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.base import Case
 
-_PARTS = ["signal", "text", "shaping", "spans", "joins", "events", "metrics", "labels", "sources", "models"]
+_PARTS = ["signal", "text", "shaping", "spans", "joins", "events", "metrics", "labels", "sources", "models", "streams"]
 
 
 def cases() -> dict[str, Case]:

@@ -17,7 +17,8 @@ SMALL = {"numTrees": 10, "minInstancesPerNode": 5, "maxDepth": 4, "seed": 0}
 
 def rows(spark, base):
     """The training table, written once: every fold and learner reads it again."""
-    return cut(hits(spark, base).withColumn("label", F.when(F.col("hit"), 1.0).otherwise(0.0)))
+    labels = F.when(F.col("hit"), 1.0).otherwise(0.0)
+    return cut(hits(spark, base).withColumn("label", labels).withColumn("fold", F.col("work_id") % 3))
 
 
 def logistic():
@@ -89,17 +90,17 @@ def _m6(spark, base):
 
 
 def _m7(spark, base):
-    out = md.in_sample_vs_held_out(rows(spark, base), "work_id", md.scorer(FEATS, logistic))
+    out = md.in_sample_vs_held_out(rows(spark, base), "fold", md.scorer(FEATS, logistic))
     return show(out, *out.columns)
 
 
 def _m8(spark, base):
-    out = md.ablate(rows(spark, base), "work_id", FEATS, logistic, [["t"]])
+    out = md.ablate(rows(spark, base), "fold", FEATS, logistic, [["t"]])
     return show(out, *out.columns)
 
 
 def _m9(spark, base):
-    out = md.compare_algorithms(rows(spark, base).filter("work_id < 3"), "work_id", FEATS, "score", small)
+    out = md.compare_algorithms(rows(spark, base), "fold", FEATS, "score", small)
     return show(out, *out.columns)
 
 
@@ -108,13 +109,13 @@ def _m9_baseline(spark, base):
 
 
 def _m10(spark, base):
-    out = md.train_modes(rows(spark, base), "work_id", FEATS, logistic)
+    out = md.train_modes(rows(spark, base), "fold", FEATS, logistic)
     return show(out, *out.columns)
 
 
 def _m11(spark, base):
     data = rows(spark, base)
-    out = md.tune(data, "work_id", FEATS, {"numTrees": [5], "maxDepth": [2, 4]}, [0])
+    out = md.tune(data, "fold", FEATS, {"numTrees": [5], "maxDepth": [2, 4]}, [0])
     return show(out, *out.columns)
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import distance_weight, finite_or_zero, hard_label, soft_target
@@ -44,11 +44,10 @@ def training_set(
 
 def with_class_weight(rows: DataFrame, extra: Column | None = None) -> DataFrame:
     """``weight`` = n / (2 n_class), times an own weight: both classes count alike."""
-    sizes = rows.groupBy("label").agg(F.count("*").alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy())  # two rows
-    table = sizes.select("label", (total / (2.0 * F.col("_c"))).alias("_w"))
-    weighted = rows.join(table, "label").withColumn("weight", F.col("_w") * (extra if extra is not None else F.lit(1.0)))
-    return weighted.drop("_w")
+    row = rows.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("pos")).first()
+    pos, neg = max(1, row["pos"]), max(1, row["n"] - row["pos"])
+    share = F.when(F.col("label") > 0, row["n"] / (2.0 * pos)).otherwise(row["n"] / (2.0 * neg))
+    return rows.withColumn("weight", share * (extra if extra is not None else F.lit(1.0)))
 
 
 def _stages(features: Sequence[str], learner, scale: bool) -> Pipeline:
@@ -212,7 +211,7 @@ def compare_algorithms(rows: DataFrame, group: str, features: Sequence[str], bas
     parts = [labelled_quality(f"only {baseline}", single_feature_scores(rows, baseline))]
     for name, learner in table.items():
         fit = scorer(features, lambda name=name, learner=learner: {name: learner})
-        parts.append(labelled_quality(name, leave_one_group_out(rows, group, fit, threads=1)))
+        parts.append(labelled_quality(name, leave_one_group_out(rows, group, fit)))
     return _stack(parts)
 
 
