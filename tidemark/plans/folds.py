@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from tidemark.plans.blocks import BLOCK, fit, is_blocked, islands, number_rows, scan, unblock
 from tidemark.plans.nearest import nearest, window_best
@@ -127,7 +127,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
                 [*cols, pa.array([out[:cap]], pa.list_(pa.int32()))], names=[*part, "_exits"]
             )
 
-    exit_schema = StructType([*key_fields, StructField("_b", LongType())]).add("_exits", "array<int>")
+    exit_schema = StructType([*key_fields, StructField("_b", LongType())]).add("_exits", ArrayType(IntegerType()))
     table = (
         slim.unionByName(halo)
         .repartition(*[F.col(c) for c in part])
@@ -175,7 +175,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
             )
 
     mark_schema = StructType([*key_fields, StructField("_b", LongType()), StructField("_p", LongType())])
-    mark_schema = mark_schema.add("_open", "boolean")
+    mark_schema = mark_schema.add("_open", BooleanType())
     marked = (
         slim.drop("_halo")
         .join(entries, part)
