@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
 from tidemark.catalog.signal import AROUND, EDGE_SQL, KEYS, LEVEL_SQL, LEVELS, MAXIMA, PEAKS, RANKED, SMOOTH, WALK
-from tidemark.functions.scores import formula_score
 from tidemark.operators import events as ev
-from tidemark.operators import signal as sg
 from tidemark.operators.joins import top_per_key
 from tidemark.plans.folds import select_spaced
+from tidemark.plans.pipelines import detect_events
 
 NUMBERED = "SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, t, cand_no) AS rn FROM {source}"
 
@@ -182,11 +181,7 @@ def _e12(relocate):
 
 def detected(spark, base):
     """The whole detector on the frame view: peaks, features, hand-made score, merge, snap."""
-    rows = sg.candidate_table(fx.frames(spark, base), KEYS, 1.0)
-    scored = rows.withColumn("score", formula_score(F.col("signature"), F.col("recover"), F.lit(0.0))).withColumn("cand_no", F.col("idx"))
-    kept = ev.threshold_filter(scored, "score", -1.0)
-    picked = ev.merge_candidates(kept, KEYS, "cand_no")
-    return kept, ev.snap(picked, kept, KEYS, "peak", F.col("rank_energy"))
+    return detect_events(fx.frames(spark, base), KEYS, 1.0, least=-1.0)
 
 
 def _e13(spark, base):

@@ -111,8 +111,7 @@ NONBLANK = f"SELECT * FROM v_seg WHERE {strip_sql('text')} <> ''"
 
 
 def _g3(spark, base):
-    pieces = F.posexplode_outer(sg.split_text(F.col("text"), MAX, ENDS)).alias("piece", "part")
-    return seg(spark, base).select(*KEYS, "seg_no", pieces).filter(F.col("part").isNotNull())
+    return sg.explode_pieces(seg(spark, base), MAX, ENDS).select(*KEYS, "seg_no", "piece", "part")
 
 
 def _g4(spark, base):

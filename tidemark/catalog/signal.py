@@ -65,6 +65,12 @@ def peaks(spark, base):
     return sg.find_peaks(fx.frames(spark, base), KEYS, GAP)
 
 
+def series_and_peaks(spark, base):
+    """The smoothed series, written once, and its peaks."""
+    series, bound = sg.smoothed_series(fx.frames(spark, base), KEYS, 5)
+    return unblock(series).select(*KEYS, "idx", "smooth"), sg.peaks_of(series, KEYS, GAP, 0.95, bound), bound
+
+
 def _w1(spark, base):
     return show(smoothed(spark, base), *KEYS, "idx", "smooth")
 
@@ -86,7 +92,7 @@ def _w2_approx(spark, base):
 
 
 def _maxima(spark, base):
-    sm = smoothed(spark, base)
+    sm, _ = sg.smoothed_series(fx.frames(spark, base), KEYS, 5)
     return sg.local_maxima(sm, KEYS, "smooth", sg.track_levels(unblock(sm), KEYS, "smooth"))
 
 
@@ -109,9 +115,8 @@ def flagship(spark, base):
 
 
 def feature_rows(spark, base):
-    sm = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
-    pk = peaks(spark, base)
-    return sg.edge_features(sg.level_features(pk, sm, KEYS, HOP), sm, KEYS, HOP)
+    sm, pk, bound = series_and_peaks(spark, base)
+    return sg.edge_features(sg.level_features(pk, sm, KEYS, HOP), sm, KEYS, HOP, bound=bound)
 
 
 WIN = {k: (int(a), int(b)) for k, (a, b) in sg.WINDOWS.items()}
@@ -150,15 +155,15 @@ _LEVELS = ["peak", *WIN, "signature", "contrast"]
 
 def _feature_case(*names):
     def run(spark, base):
-        sm = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
-        return show(sg.level_features(peaks(spark, base), sm, KEYS, HOP), *KEYS, "idx", *names)
+        sm, pk, _ = series_and_peaks(spark, base)
+        return show(sg.level_features(pk, sm, KEYS, HOP), *KEYS, "idx", *names)
 
     return Case(run, feats_sql(f"SELECT work_id, track_id, idx, {_r(*names)} FROM lf"))
 
 
 def _w6(spark, base):
-    sm = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
-    return show(sg.level_features(peaks(spark, base), sm, KEYS, HOP), *KEYS, "idx", *_LEVELS)
+    sm, pk, _ = series_and_peaks(spark, base)
+    return show(sg.level_features(pk, sm, KEYS, HOP), *KEYS, "idx", *_LEVELS)
 
 
 def _edges(*names):
@@ -213,15 +218,15 @@ def _w15_spectrum(spark, base):
 
 
 def _w16(spark, base):
-    sm = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
+    sm, pk, _ = series_and_peaks(spark, base)
     return show(
-        sg.formula_shape(peaks(spark, base), sm, KEYS, HOP), *KEYS, "idx", "pre30", "post4", "signature", "recover", "peak"
+        sg.formula_shape(pk, sm, KEYS, HOP), *KEYS, "idx", "pre30", "post4", "signature", "recover", "peak"
     )
 
 
 def _w17(spark, base):
-    sm = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
-    out = sg.landmarks(peaks(spark, base), sm, KEYS, 30)
+    sm, pk, _ = series_and_peaks(spark, base)
+    out = sg.landmarks(pk, sm, KEYS, 30)
     return show(out, *KEYS, "idx", "top_idx", "rise_idx", "fall_idx", "onset_idx", "centre_idx")
 
 

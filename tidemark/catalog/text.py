@@ -83,12 +83,12 @@ F5 = f"""SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN {strip_sql("regexp_r
 
 
 def _f6(spark, base):
-    docs = fx.table(spark, base, "documents")
+    docs = fx.spread(fx.table(spark, base, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
 
 
 def _f6_full(spark, base):
-    docs = fx.table(spark, base, "documents")
+    docs = fx.spread(fx.table(spark, base, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(tx.normalize_nfkc(F.col("text"))).alias("digest"))
 
 

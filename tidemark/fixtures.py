@@ -17,6 +17,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input whose files give fewer splits than the cluster has cores; others stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     return unblock(number_rows(fit(df, keys, order), keys, order, name))
 
@@ -72,7 +78,7 @@ def labelled(spark: SparkSession, base: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, base: str) -> DataFrame:
-    docs = table(spark, base, "documents").select("doc_id", "text")
+    docs = spread(table(spark, base, "documents").select("doc_id", "text"))
     return docs.select(
         (F.col("doc_id") % 10).alias("work_id"),
         F.col("doc_id").alias("track_id"),

@@ -117,6 +117,15 @@ def split_text(text: Column, max_chars: int, sentence_ends: str = SENTENCE_ENDS)
     return F.when(F.length(whole) <= max_chars, short).otherwise(tier(whole, 0))
 
 
+def explode_pieces(
+    segments: DataFrame, max_chars: int, sentence_ends: str = SENTENCE_ENDS, out: str = "part"
+) -> DataFrame:
+    """One row per piece of :func:`split_text`; blank texts, which have none, are dropped beforehand."""
+    rows = segments.filter(~tx.is_blank(F.col("text"))).withColumn("_parts", split_text(F.col("text"), max_chars, sentence_ends))
+    # the outer form of explode keeps the optimizer from evaluating the split a second time in a filter
+    return rows.select(*segments.columns, F.posexplode_outer("_parts").alias("piece", out))
+
+
 def resplit_segments(
     segments: DataFrame, keys: Sequence[str], max_chars: int, min_gap: float = 0.05, sentence_ends: str = SENTENCE_ENDS
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.blocks import fit, frame_windows, number_rows, position_bound, quantiles, shift, unblock
 from tidemark.plans.folds import suppress
+from tidemark.session import cut
 
 # Feature names in model order, and the means and deviations of the hand-made score.
 FEATURES = [
@@ -79,8 +80,8 @@ def track_levels(
     frames: DataFrame, keys: Sequence[str], value: str, pct: float = 0.95, bound: int | None = None
 ) -> DataFrame:
     """Per track: number of frames, median and upper percentile (linear interpolation)."""
-    sizes = frames.groupBy(*keys).agg((F.max("idx") + 1).alias("n_frames"))
-    return sizes.join(quantiles(frames, keys, value, {"median": 0.5, "threshold": pct}, bound), list(keys))
+    size = (F.max("idx") + 1).alias("n_frames")
+    return quantiles(frames, keys, value, {"median": 0.5, "threshold": pct}, bound, [size])
 
 
 def approximate_levels(frames: DataFrame, keys: Sequence[str], value: str, pct: float = 0.95) -> DataFrame:
@@ -120,11 +121,18 @@ def find_peaks(
     bound: int | None = None,
 ) -> DataFrame:
     """Smoothed local maxima over the track percentile, thinned best-first to more than ``gap`` frames."""
-    bound = position_bound(frames, "idx") if bound is None else bound
-    smoothed = moving_average(frames, keys, smooth, value, bound=bound)
+    smoothed, bound = smoothed_series(frames, keys, smooth, value, bound)
     return peaks_of(smoothed, keys, gap, pct, bound)
 
 
+def smoothed_series(
+    frames: DataFrame, keys: Sequence[str], k: int, value: str = "level", bound: int | None = None
+) -> tuple[DataFrame, int]:
+    """(smoothed series, bound on frames per track); written once because peaks and features read it many times."""
+    bound = position_bound(frames, "idx") if bound is None else bound
+    return cut(moving_average(frames, keys, k, value, bound=bound)), bound
+
+
 def peaks_of(smoothed: DataFrame, keys: Sequence[str], gap: int, pct: float, bound: int) -> DataFrame:
     """Peaks of a smoothed series, with the track's median and length."""
     levels = track_levels(unblock(smoothed), keys, "smooth", pct, bound)
@@ -412,8 +420,7 @@ def candidate_table(
     value: str = "level",
 ) -> DataFrame:
     """Every peak with its level, edge and rank features: the input of scoring and training."""
-    bound = position_bound(frames, "idx")
-    smoothed = moving_average(frames, keys, smooth, value, bound=bound)
+    smoothed, bound = smoothed_series(frames, keys, smooth, value)
     peaks = peaks_of(smoothed, keys, max(1, int(min_gap / hop)), pct, bound)
     series = unblock(smoothed).select(*keys, "idx", "smooth")
     rows = level_features(peaks, series, keys, hop)

@@ -233,13 +233,21 @@ def frame_windows(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], bound: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Mapping[str, float],
+    bound: int | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact quantiles per key with linear interpolation between neighbouring ranks."""
+    """Exact quantiles per key with linear interpolation between neighbouring ranks.
+
+    ``extra`` are plain aggregates to compute in the same pass.
+    """
     present = df.select(*keys, value).filter(F.col(value).isNotNull())
     blocked = fit(present, keys, [value], bound=bound)
     if not is_blocked(blocked):
-        return present.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in wanted.items()])
+        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in wanted.items()], *extra)
     ranked = number_rows(blocked.withColumn("_tie", F.monotonically_increasing_id()), keys, [value, "_tie"], "_rank")
     sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
     at = ranked.join(sizes, list(keys))
@@ -260,4 +268,5 @@ def quantiles(
         share = exact - F.floor(exact)
         return F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * share
 
-    return picked.select(*keys, *[blend(n, p).alias(n) for n, p in wanted.items()])
+    out = picked.select(*keys, *[blend(n, p).alias(n) for n, p in wanted.items()])
+    return out.join(df.groupBy(*keys).agg(*extra), list(keys)) if extra else out

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from tidemark.plans.blocks import BLOCK, fit, is_blocked, islands, number_rows, scan, unblock
@@ -82,6 +83,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
         .withColumn("_halo", F.lit(True))
     )
     key_fields = [rows.schema[k] for k in keys]
+    part_types = [to_arrow_type(rows.schema[c].dataType) for c in part]
 
     def next_starts(sizes, joined):
         import numpy as np
@@ -122,7 +124,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
             for i in range(own - 1, -1, -1):
                 j = int(nxt[i])
                 out[i] = j - own if j >= own else out[j]
-            cols = [pa.array([v]) for v in key]
+            cols = [pa.array([v], t) for v, t in zip(key, part_types)]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array([out[:cap]], pa.list_(pa.int32()))], names=[*part, "_exits"]
             )
@@ -169,7 +171,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
             while i < n:
                 opens[i] = True
                 i = int(nxt[i])
-            cols = [pa.array([v] * n) for v in key]
+            cols = [pa.array([v] * n, t) for v, t in zip(key, part_types)]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(held["_p"], pa.int64()), pa.array(opens)], names=[*part, "_p", "_open"]
             )
