@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import fit, number_rows, unblock
+from tidemark.plans.blocks import fit, number_rows, scan, unblock
 
 TRACK = ["work_id", "track_id"]
 
@@ -86,21 +86,22 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def _timed(texts: DataFrame) -> DataFrame:
+def _timed(texts: DataFrame, one_row_per_track: bool) -> DataFrame:
     """Add start/end from text lengths: 0.1 s per character, pauses of 0.2, 0.5 or 1.5 s.
 
-    A document is one row, so its lines are numbered and timed inside one bounded group.
+    Lines cut from one document row are a bounded group; other tracks are measured first.
     """
-    from pyspark.sql import Window
-
     rest = F.col("seg_no") % 3
     pause = F.when(rest == 0, 20).when(rest == 1, 50).otherwise(150)
-    earlier = Window.partitionBy(*TRACK).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    ticks = F.length("text") * 10
-    begin = F.coalesce(F.sum(ticks + pause).over(earlier), F.lit(0))
-    return texts.select(
+    ticks = F.length("text").cast("long") * 10
+    rows = texts.withColumn("seg_no", F.col("seg_no").cast("long"))
+    if not one_row_per_track:
+        rows = fit(rows, TRACK, ["seg_no"], position="seg_no")
+    rows = unblock(scan(rows, TRACK, ["seg_no"], {"_ticks": ("sum", ticks + pause)}, inclusive=False))
+    begin = F.coalesce(F.col("_ticks"), F.lit(0))
+    return rows.select(
         *TRACK,
-        F.col("seg_no").cast("long").alias("seg_no"),
+        "seg_no",
         (begin / F.lit(100.0)).alias("start"),
         ((begin + ticks) / F.lit(100.0)).alias("end"),
         "text",
@@ -112,14 +113,14 @@ def _timed(texts: DataFrame) -> DataFrame:
 
 
 def segments(spark: SparkSession, base: str) -> DataFrame:
-    return _timed(lines(spark, base))
+    return _timed(lines(spark, base), one_row_per_track=True)
 
 
 def conversation_segments(spark: SparkSession, base: str) -> DataFrame:
     turns = table(spark, base, "conversations").select(
         (F.col("conv_id") % 10).alias("work_id"), F.col("conv_id").alias("track_id"), F.col("turn").alias("seg_no"), "text"
     )
-    return _timed(turns)
+    return _timed(turns, one_row_per_track=False)
 
 
 def marks(spark: SparkSession, base: str) -> DataFrame:
