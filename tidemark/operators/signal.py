@@ -48,7 +48,7 @@ def frames_from_pcm(
         ),
     )
     rows = pcm.filter(F.size("samples") > 0).select(*keys, F.inline(cells))
-    lengths = rows.groupBy(*keys).agg(F.sum("count").alias("_len"))
+    lengths = pcm.groupBy(*keys).agg(F.sum(F.size("samples")).alias("_len"))
     per_frame = rows.select(
         *keys,
         F.explode(F.sequence(F.greatest(F.col("cell") - (cells_per_frame - 1), F.lit(0)), F.col("cell"))).alias("idx"),
