@@ -7,7 +7,11 @@ from typing import NamedTuple
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.chat import render_chat
+from tidemark.llm.language import held_out, identify, learn_profiles
+from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_groups
 from tidemark.llm.tokens import count_tokens
 
@@ -21,15 +25,52 @@ def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op3_chat(spark: SparkSession, base: str) -> DataFrame:
+    return render_chat(_table(spark, base, "conversations"))
+
+
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), chained AS (
+  SELECT conv_id, role, txt, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total,
+         string_agg(digest, ',') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest)
+), wholes AS (
+  SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_logged FROM chained WHERE n = total GROUP BY prefix
+), kept AS (
+  SELECT conv_id, n_logged FROM wholes WHERE prefix NOT IN (SELECT prefix FROM chained WHERE n < total)
+)
+SELECT conv_id, max(total)::BIGINT AS n_turns, max(n_logged)::BIGINT AS n_logged,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(txt, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY n) AS rendered
+FROM chained JOIN kept USING (conv_id) GROUP BY conv_id
+"""
+
+
 def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return count_tokens(_table(spark, base, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_language_id(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents")
+    learned = learn_profiles(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
+    return identify(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, base: str) -> DataFrame:
+    return pack(_table(spark, base, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, base: str) -> DataFrame:
     return near_groups(_table(spark, base, "documents"))
 
 
 CASES: dict[str, Case] = {
+    "op3_chat": Case(op3_chat, OP3_SQL),
     "op4_token_counts": Case(op4_token_counts),
+    "op5_language_id": Case(op5_language_id),
+    "op6_packing": Case(op6_packing),
     "op7_simhash": Case(op7_simhash),
 }
