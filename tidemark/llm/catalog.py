@@ -14,6 +14,7 @@ from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_groups
 from tidemark.llm.tokens import count_tokens
+from tidemark.llm.vectors import near_vectors
 
 
 class Case(NamedTuple):
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op2_vectors(spark: SparkSession, base: str) -> DataFrame:
+    return near_vectors(_table(spark, base, "embeddings"))
+
+
 def op3_chat(spark: SparkSession, base: str) -> DataFrame:
     return render_chat(_table(spark, base, "conversations"))
 
@@ -68,6 +73,7 @@ def op7_simhash(spark: SparkSession, base: str) -> DataFrame:
 
 
 CASES: dict[str, Case] = {
+    "op2_vectors": Case(op2_vectors),
     "op3_chat": Case(op3_chat, OP3_SQL),
     "op4_token_counts": Case(op4_token_counts),
     "op5_language_id": Case(op5_language_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,25 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+
+
+class Forest:
+    """Links among n nodes of one block that join the same groups as all links it is told of, fewer than n of them.
+
+    Every node keeps a group label, so a row whose links stay inside its group costs one look.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: int, others: np.ndarray) -> None:
+        found, first = np.unique(self.label[others], return_index=True)
+        new = found != self.label[i]
+        if new.any():
+            self.links += [(int(i), int(j)) for j in others[first[new]]]
+            self.label[np.isin(self.label, found[new])] = self.label[i]
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.array(self.links, dtype=np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, row_slices, stored, text_buffer, word_spans
-from tidemark.llm.graph import components
+from tidemark.llm.graph import Forest, components
 
 #: Fingerprints that one block compares at most with each other.
 BLOCK = 2048
@@ -140,25 +140,16 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def _linked(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join the same groups as all near pairs of one block: within it, or between its two sides.
-
-    Every node keeps a group label; a row whose hits all carry its label adds nothing.
-    """
+def _linked(values: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same groups as all near pairs of one block: within it, or between its two sides."""
     whole = side.all() or not side.any()
     a = np.arange(len(values)) if whole else np.flatnonzero(side)
     b = a if whole else np.flatnonzero(~side)
-    label = np.arange(len(values))
-    kept = []
+    links = Forest(len(values))
     for low, hits in near_rows(values[a], values[b], radius):
         for k in np.flatnonzero(hits.any(axis=1)):
-            i, js = a[low + k], b[hits[k]]
-            found, first = np.unique(label[js], return_index=True)
-            new = found != label[i]
-            if new.any():
-                kept += [(int(i), int(j)) for j in js[first[new]]]
-                label[np.isin(label, found[new])] = label[i]
-    return kept
+            links.add(a[low + k], b[hits[k]])
+    return links.ends()
 
 
 #: Blocks of up to so many values are compared together, as one list of pairs.
@@ -180,9 +171,9 @@ def _block_links(values: np.ndarray, side: np.ndarray, bounds: np.ndarray, radiu
     left, right = [i[near]], [j[near]]
     for k in np.flatnonzero(size > SMALL):
         low, high = int(bounds[k]), int(bounds[k + 1])
-        kept = np.array(_linked(values[low:high], side[low:high], radius), dtype=np.int64).reshape(-1, 2) + low
-        left.append(kept[:, 0])
-        right.append(kept[:, 1])
+        a, b = _linked(values[low:high], side[low:high], radius)
+        left.append(a + low)
+        right.append(b + low)
     return values[np.concatenate(left)], values[np.concatenate(right)]
 
 
