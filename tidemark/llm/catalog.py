@@ -13,6 +13,7 @@ from tidemark.llm.chat import render_chat
 from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_groups
+from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tokens import count_tokens
 from tidemark.llm.vectors import near_vectors
 
@@ -26,6 +27,10 @@ def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, base: str) -> DataFrame:
+    return remove_repeats(_table(spark, base, "documents"), digest=True)
+
+
 def op2_vectors(spark: SparkSession, base: str) -> DataFrame:
     return near_vectors(_table(spark, base, "embeddings"))
 
@@ -73,6 +78,7 @@ def op7_simhash(spark: SparkSession, base: str) -> DataFrame:
 
 
 CASES: dict[str, Case] = {
+    "op1_substrings": Case(op1_substrings),
     "op2_vectors": Case(op2_vectors),
     "op3_chat": Case(op3_chat, OP3_SQL),
     "op4_token_counts": Case(op4_token_counts),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.session import scratch_path
 
@@ -29,7 +30,7 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
@@ -117,3 +118,18 @@ def row_slices(offsets: np.ndarray, limit: int = _SLICE) -> Iterator[tuple[int,
         high = max(int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1, low + 1)
         yield low, high
         low = high
+
+
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words in one buffer with a space after each, and where each word begins and ends there."""
+    length = ends - starts
+    stop = np.cumsum(length + 1) - 1
+    begin = stop - length
+    packed = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, dtype=np.uint8)
+    to = np.ones(len(packed), dtype=bool)
+    to[stop] = False
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[starts] = 1
+    np.subtract.at(step, ends, 1)
+    packed[to] = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    return packed, begin, stop

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, row_slices, stored, text_buffer, word_spans
+from tidemark.llm.common import map_arrow, packed_words, row_slices, stored, text_buffer, word_spans
 from tidemark.llm.graph import Forest, components
 
 #: Fingerprints that one block compares at most with each other.
@@ -27,18 +27,8 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int
     out = np.zeros(len(offsets) - 1, dtype=np.uint64)
     if not len(starts):
         return out
-    # one buffer of all words, lower-cased, a space after each
-    length = ends - starts
-    stop = np.cumsum(length + 1) - 1
-    begin = stop - length
-    packed = np.full(int(stop[-1]) + 1, 32, dtype=np.uint8)
-    inside = np.ones(len(packed), dtype=bool)
-    inside[stop] = False
-    covered = np.zeros(len(data) + 1, dtype=np.int8)
-    covered[starts] += 1
-    np.subtract.at(covered, ends, 1)
-    packed[inside] = _LOWER[data[np.cumsum(covered[:-1], dtype=np.int8).astype(bool)]]
-    held = packed.tobytes()
+    packed, begin, stop = packed_words(data, starts, ends)
+    held = _LOWER[packed].tobytes()
     n_words = np.diff(first)
     n_shingles = np.where(n_words >= shingle, n_words - shingle + 1, (n_words > 0).astype(n_words.dtype))
     owner = np.repeat(np.arange(len(out)), n_shingles)
