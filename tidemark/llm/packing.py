@@ -16,15 +16,27 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, stored
 
 #: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 CACHE_BYTES = 40
 
-# the tokenizer always separates a letter from one of these signs
-_BEFORE_SIGN = re.compile(rb"(?<=[a-z])(?=[.,;:!?%*$#&|])")
+# the tokenizer always separates a letter (a-z, or Latin-1 in UTF-8) from one of these signs
+_BEFORE_SIGN = re.compile(rb"(?=[.,;:!?%*$#&|])(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+# lower-case letters that normalization leaves as they are, and that make one token of the merge table
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _tokenizers: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 
+def _byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+
+
 def _tokenizer(path: str):
     if path not in _tokenizers:
         import os
@@ -48,25 +60,35 @@ def _pieces_of_text(text: str) -> list[bytes]:
     return data.split()
 
 
+def _word_ids(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+    """The ids of words: plain ones from the merge table at once, others by the whole tokenizer."""
+    merge = tokenizer.model.tokenize
+    found: dict[bytes, bytes] = {}
+    other = []
+    for word in words:
+        if len(word) <= CACHE_BYTES and _PLAIN(word):
+            found[word] = array("I", [t.id for t in merge(word.decode("latin-1").translate(_SIGNS))]).tobytes()
+        else:
+            other.append(word)
+    for low in range(0, len(other), 4096):
+        part = other[low : low + 4096]
+        for word, encoded in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+            found[word] = array("I", encoded.ids).tobytes()
+    return found
+
+
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
     """The ids of every text as little-endian unsigned 32-bit values."""
     tokenizer, cache = _tokenizer(path)
     split = [_pieces_of_text(t) if t else [] for t in texts]
-    missing = list(set().union(*split).difference(cache))
-    local: dict[bytes, bytes] = {}
-    for low in range(0, len(missing), 4096):
-        words = missing[low : low + 4096]
-        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, encoded in zip(words, found):
-            ids = array("I", encoded.ids).tobytes()
-            if len(cache) < CACHE_WORDS and len(word) <= CACHE_BYTES:
-                cache[word] = ids
-            else:
-                local[word] = ids
-    if not local:
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
-    both = {w: cache[w] if w in cache else local[w] for words in split for w in words}
-    return [b"".join(map(both.__getitem__, words)) for words in split]
+    found = _word_ids(tokenizer, list(set().union(*split).difference(cache)))
+    cache.update(found)
+    out = [b"".join(map(cache.__getitem__, words)) for words in split]
+    room = CACHE_WORDS - len(cache) + len(found)
+    for n, word in enumerate(found):
+        if n >= room or len(word) > CACHE_BYTES:
+            del cache[word]
+    return out
 
 
 def cut_lengths(n: int, capacity: int, whole: int, slack: int) -> list[int]:
