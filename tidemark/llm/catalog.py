@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import render_chat
 from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.packing import pack
+from tidemark.llm.quality import judge
 from tidemark.llm.simhash import near_groups
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tokens import count_tokens
@@ -77,6 +78,10 @@ def op7_simhash(spark: SparkSession, base: str) -> DataFrame:
     return near_groups(_table(spark, base, "documents"))
 
 
+def op8_quality(spark: SparkSession, base: str) -> DataFrame:
+    return judge(_table(spark, base, "documents"), _table(spark, base, "labels"))
+
+
 CASES: dict[str, Case] = {
     "op1_substrings": Case(op1_substrings),
     "op2_vectors": Case(op2_vectors),
@@ -85,4 +90,5 @@ CASES: dict[str, Case] = {
     "op5_language_id": Case(op5_language_id),
     "op6_packing": Case(op6_packing),
     "op7_simhash": Case(op7_simhash),
+    "op8_quality": Case(op8_quality),
 }
