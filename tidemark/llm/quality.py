@@ -32,17 +32,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Where a token, or a pair of tokens, stands three times in a row; all such places are one and the same gram."""
-    found = []
-    for lag in (1, 2):
-        same = (h[lag:] == h[:-lag]) & (row[lag:] == row[:-lag])
-        for _ in range(2 * lag - 1):
-            same = same[1:] & same[:-1]
-        found.append(np.flatnonzero(same))
-    return np.concatenate(found)
-
-
 def row_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and the two buckets of the distinct n-grams of each row, ordered by row.
 
@@ -62,10 +51,9 @@ def row_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     h = hash_words(_LOWER[data], begin, stop)
     both = row[1:] == row[:-1]
     two = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[both]
-    again = row[_repeats(h, row)]
-    low, second = np.uint64((1 << 2 * BITS) - 1), np.uint64(1 << 2 * BITS)
-    grams = np.concatenate([h & low, (two & low) + second, np.full(len(again), second)]).astype(np.int64)
-    keys = np.sort(np.concatenate([row, row[1:][both], again]) << (2 * BITS + 1) | grams)
+    low = np.uint64((1 << 2 * BITS) - 1)
+    grams = np.concatenate([h & low, (two & low) + np.uint64(1 << 2 * BITS)]).astype(np.int64)
+    keys = np.sort(np.concatenate([row, row[1:][both]]) << (2 * BITS + 1) | grams)
     if len(keys):
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     order = (keys >> 2 * BITS & 1) << BITS
