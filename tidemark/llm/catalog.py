@@ -17,6 +17,7 @@ from tidemark.llm.simhash import near_groups
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tokens import count_tokens
 from tidemark.llm.vectors import near_vectors
+from tidemark.llm.wrappers import extract_main_text
 
 
 class Case(NamedTuple):
@@ -82,6 +83,10 @@ def op8_quality(spark: SparkSession, base: str) -> DataFrame:
     return judge(_table(spark, base, "documents"), _table(spark, base, "labels"))
 
 
+def op9_main_text(spark: SparkSession, base: str) -> DataFrame:
+    return extract_main_text(_table(spark, base, "pages"))
+
+
 CASES: dict[str, Case] = {
     "op1_substrings": Case(op1_substrings),
     "op2_vectors": Case(op2_vectors),
@@ -91,4 +96,5 @@ CASES: dict[str, Case] = {
     "op6_packing": Case(op6_packing),
     "op7_simhash": Case(op7_simhash),
     "op8_quality": Case(op8_quality),
+    "op9_main_text": Case(op9_main_text),
 }
