@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import render_chat
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
@@ -87,6 +88,10 @@ def op9_main_text(spark: SparkSession, base: str) -> DataFrame:
     return extract_main_text(_table(spark, base, "pages"))
 
 
+def op10_leaks(spark: SparkSession, base: str) -> DataFrame:
+    return find_leaks(_table(spark, base, "documents"), _table(spark, base, "benchmark"))
+
+
 CASES: dict[str, Case] = {
     "op1_substrings": Case(op1_substrings),
     "op2_vectors": Case(op2_vectors),
@@ -97,4 +102,5 @@ CASES: dict[str, Case] = {
     "op7_simhash": Case(op7_simhash),
     "op8_quality": Case(op8_quality),
     "op9_main_text": Case(op9_main_text),
+    "op10_leaks": Case(op10_leaks),
 }
