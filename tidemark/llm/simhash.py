@@ -229,3 +229,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate group, the one of smallest key, with its columns; rows that repeat that key
+    count as copies. Rows without a key stay only if no row of their group has one."""
+    groups = near_groups(docs, key, text, **options)
+    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
+    found = docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")
+    return found.dropDuplicates([key])
