@@ -105,23 +105,59 @@ def test_select_spaced(limited):
         assert [r["t"] for r in sorted(out, key=lambda r: r["rank"]) if r["k"] == k] == mine
 
 
-@pytest.mark.parametrize("max_rows,max_total", [(4, 12), (None, 15)])
-def test_greedy_groups(limited, max_rows, max_total):
-    rows = points(9, 300, 0.7)
-    df = bl.fit(frame(limited, rows), ["k"], ["id"])
-    size = (F.col("id") % 5 + 1).cast("int")
-    out = bl.unblock(fo.greedy_groups(df, ["k"], ["id"], size, F.col("id") % 11 != 0, max_rows, max_total)).collect()
-    got = {r["id"]: r["group_no"] for r in out}
+def greedy(rows, size, linked, max_rows, max_total):
+    """Group start of each (key, id) by the sequential rule."""
     want = {}
-    for k in range(5):
+    for k in {r[0] for r in rows}:
         start = count = total = 0
         for p, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[3])):
-            n = r[3] % 5 + 1
-            if p == 0 or r[3] % 11 == 0 or (max_rows and count >= max_rows) or total + n > max_total:
+            n = size(r[3])
+            if p == 0 or not linked(r[3]) or (max_rows and count >= max_rows) or total + n > max_total:
                 start, count, total = p, 0, 0
             count, total = count + 1, total + n
             want[r[3]] = start
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("max_rows,max_total", [(4, 12), (None, 15), (3, 0)])
+@pytest.mark.parametrize("sizes", ["positive", "with blanks", "mostly blank", "oversized"])
+def test_greedy_groups(limited, max_rows, max_total, sizes):
+    rows = points(9, 300, 0.7)
+    rule = {
+        "positive": ("id % 5 + 1", lambda i: i % 5 + 1),
+        "with blanks": ("id % 3 * (id % 5)", lambda i: i % 3 * (i % 5)),
+        "mostly blank": ("if(id % 40 = 0, 5, 0)", lambda i: 5 if i % 40 == 0 else 0),
+        "oversized": ("if(id % 4 = 0, 99, if(id % 4 = 1, 3, 0))", lambda i: (99, 3, 0, 0)[i % 4]),
+    }[sizes]
+    df = bl.fit(frame(limited, rows), ["k"], ["id"])
+    out = bl.unblock(fo.greedy_groups(df, ["k"], ["id"], F.expr(rule[0]).cast("int"), F.col("id") % 11 != 0, max_rows, max_total)).collect()
+    assert {r["id"]: r["group_no"] for r in out} == greedy(rows, rule[1], lambda i: i % 11 != 0, max_rows, max_total)
+
+
+def test_greedy_groups_go_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = points(10, 200, 0.8)
+        out = fo.greedy_groups(frame(spark, rows), ["k"], ["id"], F.col("id") % 4, F.col("id") % 13 != 0, None, 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["id"]: r["group_no"] for r in out} == greedy(rows, lambda i: i % 4, lambda i: i % 13 != 0, None, 20)
+
+
+def test_frames_wider_than_a_block(limited):
+    rows = [(1, float(i), float(i % 7), i) for i in range(100)]
+    df = bl.fit(frame(limited, rows), ["k"], ["id"], position="id")
+    out = bl.frame_windows(df, ["k"], "id", 40, 25, {"s": lambda w: F.sum("score").over(w.rowsBetween(-40, 25))}).collect()
+    assert {r["id"]: r["s"] for r in out} == {i: sum(j % 7 for j in range(max(0, i - 40), min(100, i + 26))) for i in range(100)}
+
+
+def test_ties_of_very_large_ids(limited):
+    top = 2**53
+    left = limited.createDataFrame([(1, 5.0)], "k int, t double")
+    right = limited.createDataFrame([(1, 5.0, 1.0, top + 1), (1, 5.0, 1.0, top), (1, 9.0, 1.0, 3)], "k int, t double, score double, id long")
+    assert nearest(left, right, ["k"], "t", "t", {"hit": "id"}, "id").first()["hit"] == top
+    assert window_best(left, right, ["k"], "t", "t", 6.0, F.col("score"), F.col("id"), {"hit": F.col("id")}).first()["hit"] == 3
+    assert window_best(left, right, ["k"], "t", "t", 1.0, F.col("score"), F.col("id"), {"hit": F.col("id")}).first()["hit"] == top
 
 
 def test_far_threshold_search_opens_other_packs(spark, monkeypatch):

@@ -60,21 +60,18 @@ def dated(spark, base):
         fx.table(spark, base, "lineitem")
         .select((F.col("l_suppkey") % 50).alias("track_id"), (_day("l_shipdate") * 1.0).alias("t"), "l_orderkey", "l_linenumber",
                 F.col("l_returnflag"), F.col("l_linestatus"))
-        .filter(F.col("l_linenumber") == 1)
     )
-    own = own.groupBy("track_id", "t").agg(
-        F.min("l_orderkey").alias("own_no"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("own_text")
-    )
-    return ref, own
+    own_no = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return ref, own.select("track_id", "t", own_no.alias("own_no"), F.concat("l_returnflag", "l_linestatus").alias("own_text"))
 
 
 DATED = {
     "rf": """SELECT o_custkey % 50 AS track_id, o_orderkey AS ref_no, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS t,
       o_orderpriority AS ref_text FROM orders""",
     "ow": """SELECT l_suppkey % 50 AS track_id, date_diff('day', DATE '1990-01-01', l_shipdate::DATE)::DOUBLE AS t,
-      min(l_orderkey) AS own_no, min(l_returnflag || l_linestatus) AS own_text FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2""",
-    "nr": """SELECT ref_no, arg_min(o.own_no, (abs(o.t - r.t), o.t)) AS own_no, arg_min(o.own_text, (abs(o.t - r.t), o.t)) AS own_text,
-      arg_min(o.t - r.t, (abs(o.t - r.t), o.t)) AS shift FROM rf r JOIN ow o USING (track_id) GROUP BY 1""",
+      l_orderkey * 8 + l_linenumber AS own_no, l_returnflag || l_linestatus AS own_text FROM lineitem""",
+    "nr": """SELECT ref_no, arg_min(o.own_no, (abs(o.t - r.t), o.t, o.own_no)) AS own_no, arg_min(o.own_text, (abs(o.t - r.t), o.t, o.own_no)) AS own_text,
+      arg_min(o.t - r.t, (abs(o.t - r.t), o.t, o.own_no)) AS shift FROM rf r JOIN ow o USING (track_id) GROUP BY 1""",
 }
 
 
@@ -213,25 +210,40 @@ def _j13_stats(spark, base):
     )
 
 
+_S13_STEM = "name || CASE WHEN item_no % 5 = 0 THEN '' ELSE '_' || item_no END"
+_S13_EXACT = """CASE WHEN item_no % 2 = 0 THEN 'own' || item_no % 4 WHEN item_no % 7 < 3 THEN 'late' ELSE 'early' END"""
+_S13_SUFFIX = "CASE item_no % 3 WHEN 0 THEN '.segments.json' WHEN 1 THEN '.lrc' ELSE '.ja.lrc' END"
+_S13_LOOSE = "CASE WHEN item_no % 2 = 0 THEN 'early' WHEN item_no % 5 = 1 THEN 'own1' ELSE 'late' END"
+
+
 def _s13(spark, base):
-    tracks = fx.names(spark, base).select(F.col("item_no").alias("track_id"), F.concat("name", F.lit("_"), F.col("item_no").cast("string")).alias("stem"))
-    ids = F.col("item_no").cast("string")
-    files = fx.names(spark, base).filter(F.col("item_no") % 2 == 0).select(
-        F.concat("name", F.lit("_"), ids, F.when(F.col("item_no") % 4 == 0, ".segments.json").otherwise(".ja.lrc")).alias("name"),
-        (F.col("item_no") % 3).cast("int").alias("place"),
-    )
-    files = files.withColumn("path", F.concat(F.lit("p"), F.col("place").cast("string"), F.lit("/"), F.col("name")))
-    places = [(".segments.json", 0), (".ja.lrc", 2)]
-    return jn.locate_transcript(tracks, files, places).select("track_id", "path", "how")
+    names = fx.names(spark, base)
+    tracks = names.selectExpr("item_no AS track_id", "'own' || item_no % 4 AS folder", f"{_S13_STEM} AS stem")
+    exact = names.filter("item_no % 3 > 0").selectExpr(f"{_S13_EXACT} AS folder", f"{_S13_STEM} || {_S13_SUFFIX} AS name")
+    loose = names.filter("item_no % 3 = 0").selectExpr(f"{_S13_LOOSE} AS folder", "upper(name) || 'b_' || item_no || '.segments.json' AS name")
+    out = jn.locate_transcript(tracks, exact.unionByName(loose).distinct(), [".segments.json", ".lrc", ".ja.lrc"], ["early", "late"])
+    return out.select("track_id", "path", "how")
 
 
 S13 = sql(
     "v_names",
-    """SELECT n.item_no AS track_id, CASE WHEN n.item_no % 2 = 0 THEN 'p' || (n.item_no % 3) || '/' || name || '_' || n.item_no ||
-        CASE WHEN n.item_no % 4 = 0 THEN '.segments.json' ELSE '.ja.lrc' END ELSE m.p END AS path,
-      CASE WHEN n.item_no % 2 = 0 THEN 'exact' WHEN m.p IS NOT NULL THEN 'prefix' ELSE 'missing' END AS how
-    FROM v_names n LEFT JOIN (SELECT name AS nm, min('p' || (item_no % 3) || '/' || name || '_' || item_no || '.segments.json') AS p
-      FROM v_names WHERE item_no % 4 = 0 GROUP BY 1) m ON m.nm = n.name""",
+    f"""SELECT * FROM (SELECT t.track_id,
+        coalesce((SELECT arg_min(f.folder || '/' || f.name, (CASE WHEN f.folder = t.folder THEN 0 WHEN f.folder = 'early' THEN 1 ELSE 2 END,
+            CASE f.name WHEN t.stem || '.segments.json' THEN 0 WHEN t.stem || '.lrc' THEN 1 ELSE 2 END))
+          FROM fl f WHERE f.folder IN (t.folder, 'early', 'late') AND f.name IN (t.stem || '.segments.json', t.stem || '.lrc', t.stem || '.ja.lrc')),
+        (SELECT arg_min(f.folder || '/' || f.name, (f.folder, f.name)) FROM fl f WHERE f.folder IN ('early', 'late')
+          AND ends_with(f.name, '.segments.json') AND starts_with(lower(f.name), lower(split_part(t.stem, '_', 1))))) AS path,
+        CASE WHEN EXISTS (SELECT 1 FROM fl f WHERE f.folder IN (t.folder, 'early', 'late')
+            AND f.name IN (t.stem || '.segments.json', t.stem || '.lrc', t.stem || '.ja.lrc')) THEN 'exact'
+          WHEN EXISTS (SELECT 1 FROM fl f WHERE f.folder IN ('early', 'late') AND ends_with(f.name, '.segments.json')
+            AND starts_with(lower(f.name), lower(split_part(t.stem, '_', 1)))) THEN 'prefix' ELSE 'missing' END AS how
+      FROM tr t)""",
+    tr=f"SELECT item_no AS track_id, 'own' || (item_no % 4) AS folder, name || CASE WHEN item_no % 5 = 0 THEN '' ELSE '_' || item_no END AS stem FROM v_names",
+    fl="""SELECT DISTINCT CASE WHEN item_no % 2 = 0 THEN 'own' || (item_no % 4) WHEN item_no % 7 < 3 THEN 'late' ELSE 'early' END AS folder,
+        name || CASE WHEN item_no % 5 = 0 THEN '' ELSE '_' || item_no END || CASE item_no % 3 WHEN 0 THEN '.segments.json' WHEN 1 THEN '.lrc' ELSE '.ja.lrc' END AS name
+      FROM v_names WHERE item_no % 3 > 0
+      UNION SELECT CASE WHEN item_no % 2 = 0 THEN 'early' WHEN item_no % 5 = 1 THEN 'own1' ELSE 'late' END,
+        upper(name) || 'b_' || item_no || '.segments.json' FROM v_names WHERE item_no % 3 = 0""",
 )
 
 

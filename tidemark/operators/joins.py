@@ -101,30 +101,36 @@ def pending_works(finished: DataFrame, marked: DataFrame, trained: DataFrame, ke
     return ready.join(trained.select(work).distinct(), work, "left_anti")
 
 
-def locate_transcript(tracks: DataFrame, files: DataFrame, places: Sequence[tuple[str, int]]) -> DataFrame:
-    """Best transcript file per track: exact stem by suffix priority, else a stem sharing the name up to ``_``.
+def locate_transcript(tracks: DataFrame, files: DataFrame, suffixes: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Transcript file of each track: ``path``, and ``how`` it was found (exact, prefix, missing).
 
-    ``tracks`` has ``track_id``, ``stem``; ``files`` has ``path``, ``name``, ``place`` (0 = own folder,
-    1.. = extra folders).  ``places`` lists (suffix, priority).
+    ``tracks`` has ``track_id``, ``folder`` and ``stem``; ``files`` has ``folder`` and ``name``.  The own folder
+    comes first, then the ``extra`` folders in their order; within a folder the stem with the first suffix that
+    exists wins.  Failing that, the first file (extra folders in order, names sorted) with the first suffix whose
+    lower-cased name begins with the lower-cased stem up to its first ``_``.
     """
-    exact = None
-    for suffix, priority in places:
-        part = files.filter(F.col("name").endswith(suffix)).select(
-            F.substr("name", F.lit(1), F.length("name") - len(suffix)).alias("stem"), "path", "place", F.lit(priority).alias("_pri")
-        )
-        exact = part if exact is None else exact.unionByName(part)
-    by_stem = exact.groupBy("stem").agg(F.min_by("path", F.struct("place", "_pri", "path")).alias("_exact"))
-    first = places[0][0]
-    prefixed = (
-        files.filter(F.col("name").endswith(first))
-        .select(F.lower(F.split_part("name", F.lit("_"), F.lit(1))).alias("_prefix"), "path")
-        .groupBy("_prefix")
-        .agg(F.min("path").alias("_near"))
-    )
-    rows = tracks.withColumn("_prefix", F.lower(F.split_part("stem", F.lit("_"), F.lit(1))))
-    rows = rows.join(by_stem, "stem", "left").join(prefixed, "_prefix", "left")
-    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_near").isNotNull(), "prefix").otherwise("missing")
-    return rows.select(*tracks.columns, F.coalesce("_exact", "_near").alias("path"), how.alias("how"))
+    place = F.array_position(F.array(*[F.lit(e) for e in extra]).cast("array<string>"), F.col("folder"))
+    ranked = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("suffix")) for i, s in enumerate(suffixes)])
+    named = files.select("folder", "name", F.explode(ranked).alias("_s")).filter(F.endswith("name", F.col("_s.suffix")))
+    named = named.select(
+        "folder", F.substr("name", F.lit(1), F.length("name") - F.length("_s.suffix")).alias("stem"), place.alias("_place"),
+        F.col("_s.nth").alias("_nth"), F.concat("folder", F.lit("/"), "name").alias("path"),
+    )
+    own = named.groupBy("folder", "stem").agg(F.min(F.struct("_nth", "path")).alias("_own"))
+    others = named.filter("_place > 0").groupBy("stem").agg(F.min(F.struct("_place", "_nth", "path")).alias("_other"))
+    rows = tracks.withColumn("_key", F.lower(F.split_part("stem", F.lit("_"), F.lit(1))))
+    rows = rows.join(own, ["folder", "stem"], "left").join(others, "stem", "left")
+    # every beginning of a name under the lengths that are asked for; the first file of each is a map-side minimum
+    lengths = rows.select(F.length("_key").alias("_n")).distinct()
+    begins = files.withColumn("_place", place).filter(F.col("_place") > 0).filter(F.endswith("name", F.lit(suffixes[0])))
+    begins = begins.select("_place", "name", F.concat("folder", F.lit("/"), "name").alias("path"), F.explode(F.sequence(F.lit(0), F.length("name"))).alias("_n"))
+    begins = begins.join(lengths, "_n", "left_semi").select(
+        F.substr(F.lower("name"), F.lit(1), F.col("_n")).alias("_key"), F.struct("_place", "name", "path").alias("_near")
+    ).groupBy("_key").agg(F.min("_near").alias("_near"))
+    rows = rows.join(begins, "_key", "left")
+    exact = F.coalesce("_own.path", "_other.path")
+    how = F.when(exact.isNotNull(), "exact").when(F.col("_near").isNotNull(), "prefix").otherwise("missing")
+    return rows.select(*tracks.columns, F.coalesce(exact, "_near.path").alias("path"), how.alias("how"))
 
 
 def match_files_by_track(wanted: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -138,6 +138,8 @@ def leave_one_group_out(
     def one(fold):
         return fit(rows.filter(F.col(group) != F.lit(fold)))(rows.filter(F.col(group) == F.lit(fold)))
 
+    if not folds:
+        raise ValueError("no group with a positive row to hold out")
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(one, sorted(folds)))
     out = parts[0]
@@ -234,7 +236,7 @@ def tune(rows: DataFrame, group: str, features: Sequence[str], grid: Mapping[str
     parts = []
     for fold in held_out:
         inner = rows.filter(F.col(group) != F.lit(fold))
-        inner_folds = [r[0] for r in inner.filter("label > 0").select(group).distinct().orderBy(group).limit(3).collect()]
+        inner_folds = [r[0] for r in inner.filter("label > 0").select(group).distinct().orderBy(group).collect()]
         scored = [
             (quality(leave_one_group_out(inner, group, scorer(features, lambda s=s: forest(s)), inner_folds)).first()["auc"] or 0.0, i)
             for i, s in enumerate(settings)

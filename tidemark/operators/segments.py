@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.functions import text as tx
 from tidemark.plans.blocks import fit, islands, number_rows, scan, shift, unblock
 from tidemark.plans.folds import greedy_groups
+from tidemark.session import cut
 
 # The three separator classes tried in turn when a long text is split.
 SENTENCE_ENDS = "。！？!?…‥"
@@ -313,13 +314,17 @@ def incremental_apply(
 ) -> DataFrame:
     """Compute translations only for non-blank rows without a reusable cached one.
 
-    ``cache`` has the keys, ``seg_no``, ``text``, ``translation`` and ``fingerprint``.  Another
-    fingerprint disables reuse; a missing one reuses with a warning flag.  Adds ``source``.
+    ``cache`` has the keys, ``seg_no``, ``text``, ``translation`` and ``fingerprint``; the asked ``fingerprint`` is
+    a constant or follows from the keys.  Another
+    fingerprint disables reuse; a missing one reuses with a warning flag.  Of several cached rows of a
+    segment one with the fingerprint wins, then one without any, then the first translation.  Adds ``source``.
     """
-    old = cache.select(
-        *keys, "seg_no", "text", F.col("translation").alias("_old"), F.col("fingerprint").alias("_mark"), F.lit(True).alias("_hit")
+    match = F.when(tx.is_blank(F.col("translation")), 3).when(F.col("fingerprint") == fingerprint, 0).when(F.col("fingerprint").isNull(), 1).otherwise(2)
+    best = F.min(F.struct(match.alias("_m"), F.col("translation").alias("_old"), F.col("fingerprint").alias("_mark"))).alias("_best")
+    old = cache.groupBy(*keys, "seg_no", "text").agg(best).select(
+        *keys, "seg_no", "text", "_best._old", "_best._mark", F.lit(True).alias("_hit")
     )
-    rows = segments.join(old, [*keys, "seg_no", "text"], "left")
+    rows = cut(segments.join(old, [*keys, "seg_no", "text"], "left"))
     same = F.col("_mark").isNull() | (F.col("_mark") == fingerprint)
     usable = F.lit(reuse) & F.col("_hit").isNotNull() & same & ~tx.is_blank(F.col("_old"))
     rows = rows.withColumn("_use", F.coalesce(usable, F.lit(False)))

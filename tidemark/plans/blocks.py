@@ -209,23 +209,17 @@ def frame_windows(
     """Fixed row frames over a dense integer position.
 
     ``values`` maps a name to a function from window spec (partitioned and ordered) to expression.
-    In blocked data each block also receives ``before``/``after`` neighbour rows, dropped afterwards.
+    In blocked data each block also receives the ``before``/``after`` rows around it, from as many blocks as
+    they lie in, dropped afterwards.
     """
     if not is_blocked(df):
         spec = window(df, keys, [position])
         return df.select("*", *[f(spec).alias(n) for n, f in values.items()])
     size = block_rows(df.sparkSession)
-    if before > size or after > size:
-        raise ValueError("a frame may reach into the neighbouring block only")
-    inside = F.col(position) % size
-    targets = F.filter(
-        F.array(
-            F.col(BLOCK),
-            F.when(inside < after, F.col(BLOCK) - 1),
-            F.when(inside >= size - before, F.col(BLOCK) + 1),
-        ),
-        lambda b: b.isNotNull() & (b >= 0),
-    )
+    # a row serves every block whose frames reach it
+    low = F.floor((F.col(position) - after) / size).cast("int")
+    high = F.floor((F.col(position) + before) / size).cast("int")
+    targets = F.sequence(F.greatest(low, F.lit(0)), high)
     spread = df.withColumn("_home", F.col(BLOCK)).withColumn(BLOCK, F.explode(targets))
     spec = window(spread, keys, [position])
     out = spread.select("*", *[f(spec).alias(n) for n, f in values.items()])

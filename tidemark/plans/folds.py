@@ -7,13 +7,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tidemark.plans.blocks import BLOCK, fit, is_blocked, islands, number_rows, scan, unblock
+from tidemark.plans.blocks import BLOCK, fit, is_blocked, islands, number_rows, scan, shift, unblock
 from tidemark.plans.nearest import nearest, window_best
 from tidemark.session import block_rows, cut
 
 
+def _next_starts(sizes, linked, max_rows: int | None, max_total: int):
+    """For each row the row at which the next group begins, if a group begins at it."""
+    import numpy as np
+
+    n = len(sizes)
+    place = np.arange(n)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    nxt = np.searchsorted(sums, sums[:-1] + max_total, side="right") - 1
+    breaks = np.append(np.flatnonzero(~linked), n)
+    if n:
+        nxt = np.minimum(nxt, breaks[np.searchsorted(breaks, place, side="right")])
+    if max_rows is not None:
+        nxt = np.minimum(nxt, place + max_rows)
+    return np.maximum(nxt, place + 1)
+
+
 def greedy_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -27,102 +43,118 @@ def greedy_groups(
     """Pack consecutive rows greedily; ``name`` is the dense position of the group's first row.
 
     A row joins the open group when ``linked`` holds, the group has fewer than ``max_rows`` rows and
-    its size stays within ``max_total``.  Without ``max_rows`` every size must be at least 1.
+    its size stays within ``max_total``.  Sizes may be 0.
     """
     rows = number_rows(df, keys, order, "_p")
     rows = rows.withColumn("_size", size.cast("long")).withColumn("_linked", F.coalesce(linked, F.lit(False)))
-    cap = max_rows or max_total + 1
     if is_blocked(rows):
-        return _greedy_blocks(rows, keys, cap, max_total, name)
-    n_keys = len(keys)
+        return _greedy_blocks(rows, keys, max_rows, max_total, name)
     at = {c: rows.columns.index(c) for c in ("_p", "_size", "_linked")}
     key_at = [rows.columns.index(k) for k in keys]
 
     def pack(batches):
+        import numpy as np
         import pyarrow as pa
 
-        key, start, count, total = None, 0, 0, 0
+        last_key, start, count, total = None, 0, 0, 0
         for batch in batches:
-            ids = list(zip(*[batch.column(i).to_pylist() for i in key_at])) if n_keys else [()] * batch.num_rows
-            out = []
-            for row_key, p, n, joined in zip(
-                ids,
-                batch.column(at["_p"]).to_pylist(),
-                batch.column(at["_size"]).to_pylist(),
-                batch.column(at["_linked"]).to_pylist(),
-            ):
-                full = max_rows is not None and count >= max_rows
-                if row_key != key or not joined or full or total + n > max_total:
-                    key, start, count, total = row_key, p, 0, 0
-                count += 1
-                total += n
-                out.append(start)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name]
-            )
+            p, sizes = (batch.column(at[c]).to_numpy() for c in ("_p", "_size"))
+            joined = batch.column(at["_linked"]).to_numpy(zero_copy_only=False)
+            out = np.empty(len(p), dtype=np.int64)
+            opens = np.flatnonzero(p == 0)  # positions are dense: a key begins where they do
+            bounds = np.unique(np.concatenate([[0], opens, [len(p)]]))
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                i = int(low)
+                key = tuple(batch.column(c)[i].as_py() for c in key_at)
+                if p[i] > 0 and key == last_key:
+                    # go on with the group that the batch before left open
+                    stops = ~joined[low:high] | (total + np.cumsum(sizes[low:high]) > max_total)
+                    if max_rows is not None:
+                        stops |= count + np.arange(high - low) >= max_rows
+                    i = int(low + stops.argmax()) if stops.any() else int(high)
+                    out[low:i] = start
+                    count, total = count + i - int(low), total + int(sizes[low:i].sum())
+                nxt = _next_starts(sizes[i:high], joined[i:high], max_rows, max_total) + i
+                first = i
+                while i < high:
+                    stop = min(int(nxt[i - first]), int(high))
+                    out[i:stop] = p[i]
+                    start, count, total = int(p[i]), stop - i, int(sizes[i:stop].sum())
+                    i = stop
+                last_key = key
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
     schema = StructType([*rows.schema.fields, StructField(name, LongType())])
     spread = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "_p")
     return spread.mapInArrow(pack, schema).drop("_p", "_size", "_linked")
 
 
-def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: int, name: str) -> DataFrame:
+def _greedy_blocks(rows: DataFrame, keys: Sequence[str], max_rows: int | None, max_total: int, name: str) -> DataFrame:
     """Greedy grouping of a key that spans many blocks.
 
     From every possible entry row (a group is at most ``cap`` rows long, so an entry is one of the
     first ``cap`` rows of a block) the exit row in the next block is computed in parallel; the small
     table of entry -> exit maps is then followed per key, and each block marks its group starts.
+
+    Without ``max_rows`` a linked row of size 0 after another row of size 0 is always in that row's
+    group, so such rows are left out and take the label of the row before.  What remains of a group
+    has at most one row of size 0 before, after and between at most ``max_total`` others.
     """
+    if max_rows is None:
+        before = shift(rows, keys, ["_p"], {"_before": F.col("_size")})
+        idle = F.col("_linked") & (F.col("_size") == 0) & (F.coalesce(F.col("_before"), F.lit(1)) == 0)
+        spine = number_rows(before.filter(~idle).drop("_before"), keys, ["_p"], "_q")
+        cap = 2 * max_total + 2
+    else:
+        spine, cap = rows.withColumn("_q", F.col("_p")), max_rows
     length = max(block_rows(rows.sparkSession), cap)
-    rows = cut(rows.drop(BLOCK).withColumn("_b", F.floor(F.col("_p") / length).cast("long")))
+    slim = spine.select(*keys, F.floor(F.col("_q") / length).cast("long").alias("_b"), "_p", "_q", "_size", "_linked")
     part = [*keys, "_b"]
-    slim = rows.select(*part, "_p", "_size", "_linked", F.lit(False).alias("_halo"))
+    slim = cut(slim.withColumn("_halo", F.lit(False)))
     halo = (
-        slim.filter((F.col("_p") % length < cap) & (F.col("_b") > 0))
+        slim.filter((F.col("_q") % length < cap) & (F.col("_b") > 0))
         .withColumn("_b", F.col("_b") - 1)
         .withColumn("_halo", F.lit(True))
     )
     key_fields = [rows.schema[k] for k in keys]
-    part_types = [to_arrow_type(rows.schema[c].dataType) for c in part]
+    part_types = [to_arrow_type(slim.schema[c].dataType) for c in part]
 
-    def next_starts(sizes, joined):
+    def groups(batches, columns):
+        """Yield (key, {column: array}) per block from sorted batches."""
         import numpy as np
 
-        n = len(sizes)
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        by_total = np.searchsorted(sums, sums[:-1] + max_total, side="right") - 1
-        breaks = np.append(np.flatnonzero(~joined), n)
-        place = np.arange(n)
-        by_link = breaks[np.searchsorted(breaks, place, side="right")] if n else place
-        nxt = np.minimum(np.minimum(by_total, by_link), place + cap)
-        return np.maximum(nxt, place + 1)
-
-    def groups(batches, columns):
-        """Yield (key, {column: list}) per block from sorted batches."""
         key, held = None, None
         for batch in batches:
-            data = batch.to_pydict()
-            ids = list(zip(*[data[k] for k in part]))
-            for i, row_key in enumerate(ids):
-                if row_key != key:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_pylist() for k in part]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for values in ids:
+                new[1:] |= [a != b for a, b in zip(values, values[1:])]
+            bounds = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            arrays = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            for low, high in zip(bounds, bounds[1:]):
+                here = tuple(values[low] for values in ids)
+                if here != key:
                     if key is not None:
-                        yield key, held
-                    key, held = row_key, {c: [] for c in columns}
+                        yield key, {c: np.concatenate(v) for c, v in held.items()}
+                    key, held = here, {c: [] for c in columns}
                 for c in columns:
-                    held[c].append(data[c][i])
+                    held[c].append(arrays[c][low:high])
         if key is not None:
-            yield key, held
+            yield key, {c: np.concatenate(v) for c, v in held.items()}
 
     def exits(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for key, held in groups(batches, ["_p", "_size", "_linked", "_halo"]):
-            own = held["_halo"].count(False)
-            nxt = next_starts(np.array(held["_size"], dtype=np.int64), np.array(held["_linked"], dtype=bool))
+        for key, held in groups(batches, ["_size", "_linked", "_halo"]):
+            own = int((~held["_halo"]).sum())
+            nxt = _next_starts(held["_size"], held["_linked"], max_rows, max_total).tolist()
             out = [0] * own
             for i in range(own - 1, -1, -1):
-                j = int(nxt[i])
+                j = nxt[i]
                 out[i] = j - own if j >= own else out[j]
             cols = [pa.array([v], t) for v, t in zip(key, part_types)]
             yield pa.RecordBatch.from_arrays(
@@ -133,7 +165,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
     table = (
         slim.unionByName(halo)
         .repartition(*[F.col(c) for c in part])
-        .sortWithinPartitions(*part, "_p")
+        .sortWithinPartitions(*part, "_q")
         .mapInArrow(exits, exit_schema)
     )
 
@@ -160,33 +192,26 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], cap: int, max_total: in
     )
 
     def mark(batches):
-        import numpy as np
         import pyarrow as pa
 
         for key, held in groups(batches, ["_p", "_size", "_linked", "_entry"]):
             n = len(held["_p"])
-            nxt = next_starts(np.array(held["_size"], dtype=np.int64), np.array(held["_linked"], dtype=bool))
-            opens = np.zeros(n, dtype=bool)
-            i = held["_entry"][0]
+            nxt = _next_starts(held["_size"], held["_linked"], max_rows, max_total)
+            starts, i = [], int(held["_entry"][0])
             while i < n:
-                opens[i] = True
+                starts.append(i)
                 i = int(nxt[i])
-            cols = [pa.array([v] * n, t) for v, t in zip(key, part_types)]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(held["_p"], pa.int64()), pa.array(opens)], names=[*part, "_p", "_open"]
-            )
+            cols = [pa.array([v] * len(starts), t) for v, t in zip(key[:-1], part_types)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(held["_p"][starts], pa.int64())], names=[*keys, "_p"])
 
-    mark_schema = StructType([*key_fields, StructField("_b", LongType()), StructField("_p", LongType())])
-    mark_schema = mark_schema.add("_open", BooleanType())
     marked = (
         slim.drop("_halo")
         .join(entries, part)
         .repartition(*[F.col(c) for c in part])
-        .sortWithinPartitions(*part, "_p")
-        .mapInArrow(mark, mark_schema)
+        .sortWithinPartitions(*part, "_q")
+        .mapInArrow(mark, StructType([*key_fields, StructField("_p", LongType())]))
     )
-    labelled = rows.join(marked, [*part, "_p"]).withColumnRenamed("_b", BLOCK)
-    labelled = labelled.withColumn(BLOCK, F.col(BLOCK).cast("int"))
+    labelled = rows.join(marked.withColumn("_open", F.lit(True)), [*keys, "_p"], "left")
     out = scan(labelled, keys, ["_p"], {name: ("last", F.when(F.col("_open"), F.col("_p")))})
     return out.drop("_p", "_size", "_linked", "_open")
 

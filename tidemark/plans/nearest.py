@@ -15,6 +15,21 @@ def _null(schema: StructType) -> Column:
     return F.lit(None).cast(schema)
 
 
+def _whole(df: DataFrame, tie: str | None) -> Column:
+    """A tie that can be negated: integers as exact decimals, other numbers as they are."""
+    if tie is None:
+        return F.lit(0)
+    return F.col(tie).cast("decimal(20,0)") if df.schema[tie].dataType.simpleString() in _INTEGERS else F.col(tie).cast("double")
+
+
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _reversed(df: DataFrame, tie: Column) -> Column:
+    kind = df.select(tie.alias("_tie")).schema["_tie"].dataType.simpleString()
+    return -(tie.cast("decimal(20,0)") if kind in _INTEGERS else tie.cast("double"))
+
+
 def _meet(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_first: bool
 ) -> DataFrame:
@@ -39,9 +54,9 @@ def nearest(
 
     Adds ``dist`` (absolute), ``delta`` (left minus right) and the ``payload`` columns
     (output name -> right column); all null when the key has no right row.  Equal distances take the
-    earlier right row, equal right times the smallest numeric ``tie``.
+    earlier right row, equal right times the smallest ``tie``, compared in its own type.
     """
-    rank = F.col(tie).cast("double") if tie else F.lit(0.0)
+    rank = _whole(right, tie)
     carried = [F.col(c).alias(n) for n, c in payload.items()]
     cols = [c for c in left.columns]
     l_side = left.select(*keys, F.col(t_left).cast("double").alias("_t"), F.struct(*cols).alias("_l"))
@@ -83,7 +98,7 @@ def as_of(
     tie: str | None = None,
 ) -> DataFrame:
     """Latest right row with ``t_right <= t_left + slack``; the largest ``tie`` wins at one instant."""
-    rank = F.col(tie).cast("double") if tie else F.lit(0.0)
+    rank = F.col(tie) if tie else F.lit(0)
     l_side = left.select(
         *keys, (F.col(t_left).cast("double") + F.lit(slack)).alias("_t"), F.struct(*left.columns).alias("_l")
     )
@@ -130,7 +145,7 @@ def window_best(
         *keys,
         _tick(F.col(t_right)).alias("_t"),
         F.struct(
-            score.cast("double").alias("_s"), (-tie.cast("double")).alias("_n"), *[e.alias(n) for n, e in payload.items()]
+            score.cast("double").alias("_s"), _reversed(right, tie).alias("_n"), *[e.alias(n) for n, e in payload.items()]
         ).alias("_r"),
     )
     r_type = r_side.schema["_r"].dataType

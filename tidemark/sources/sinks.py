@@ -11,7 +11,6 @@ from tidemark.functions.names import format_srt_ts, format_ts
 from tidemark.functions.text import is_blank, strip
 from tidemark.operators.segments import rename_with_map
 from tidemark.plans.blocks import fit, number_rows, unblock
-from tidemark.session import block_rows
 
 # File suffix per subtitle mode and the separator of the inline mode.
 SUFFIX = {"source": ".ja.lrc", "translated": ".lrc", "both": ".lrc", "inline": ".lrc"}
@@ -62,11 +61,10 @@ def write_text(rows: DataFrame, path: str, track: str, order: Sequence[str], lin
     placed.select(F.col(track).cast("string").alias(track), line).write.mode("overwrite").partitionBy(track).text(path)
 
 
-def segment_documents(segments: DataFrame, model: str, fingerprint: Column) -> DataFrame:
-    """One document per track - for a track beyond the block size, several numbered parts."""
-    size = block_rows(segments.sparkSession)
+def segment_documents(segments: DataFrame, model: str, fingerprint: Column, part_rows: int = 100_000) -> DataFrame:
+    """One document per track, in numbered parts of ``part_rows`` segments so that no row grows without end."""
     fields = ["seg_no", "start", "end", "text", "translation", "no_speech_prob", "avg_logprob", "text_raw"]
-    rows = segments.withColumn("part", F.floor(F.col("seg_no") / size).cast("int")).withColumn("_mark", fingerprint)
+    rows = segments.withColumn("part", F.floor(F.col("seg_no") / part_rows).cast("int")).withColumn("_mark", fingerprint)
     return rows.groupBy("work_id", "track_id", "part").agg(
         F.lit(model).alias("model"),
         F.first("_mark").alias("fingerprint"),
