@@ -144,9 +144,6 @@ def test_stream_over_several_files_equals_batch(spark, tmp_path):
 
 def test_timed_text_format(spark, tmp_path):
     (tmp_path / "a.lrc").write_text("﻿[00:01.50]x\n[ti:t]\n[01:02:25]y\n[00:03]\n", encoding="utf-8")
-    rd.register_timed_text(spark)
-    rows = spark.read.format("timedtext").load(str(tmp_path)).orderBy("line_no").collect()
-    assert [(r["t"], r["text"]) for r in rows] == [(1.5, "x"), (62.25, "y")]
     same = rd.read_timed_lines(spark, str(tmp_path)).orderBy("t").collect()
     assert [(r["t"], r["text"]) for r in same] == [(1.5, "x"), (62.25, "y")]
     assert rd.read_timed_lines(spark, str(tmp_path), "keep").count() == 2

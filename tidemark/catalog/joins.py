@@ -23,6 +23,22 @@ def _j1(spark, base):
     return out.select(*KEYS, "cand_no", "text")
 
 
+def _j1_large(spark, base):
+    """Every segment twice at one time, with numbers beyond 2^53 that differ by one: the smaller number wins."""
+    one = fx.conversation_segments(spark, base)
+    big = lambda k, mark: one.withColumn("seg_no", F.col("seg_no") * 2 + F.lit(2**53 + k)).withColumn("text", F.concat(F.lit(mark), "text"))
+    out = jn.nearest_text(cand(spark, base), big(1, "second ").unionByName(big(0, "first ")), KEYS)
+    return out.select(*KEYS, "cand_no", "text")
+
+
+J1_LARGE = sql(
+    "v_cand v_conv",
+    """SELECT c.work_id, c.track_id, c.cand_no, coalesce(n.text, '') AS text FROM v_cand c LEFT JOIN n USING (cand_no)""",
+    n="""SELECT cand_no, 'first ' || arg_min(s.text, (abs(s."start" - c.t), s."start", s.seg_no)) AS text FROM v_cand c JOIN v_conv s USING (track_id)
+      WHERE abs(s."start" - c.t) <= 6 GROUP BY 1""",
+)
+
+
 J1 = sql(
     "v_cand v_conv",
     """SELECT c.work_id, c.track_id, c.cand_no, coalesce(n.text, '') AS text FROM v_cand c LEFT JOIN n USING (cand_no)""",
@@ -268,6 +284,7 @@ S14 = """WITH f AS (SELECT l_suppkey % 10 AS work_id, l_partkey % 400 AS track_i
 
 CASES = {
     "j1_nearest_text": Case(_j1, J1),
+    "j1_nearest_text_large_ids": Case(_j1_large, J1_LARGE),
     "j2_best_cue": Case(_j2, J2),
     "j3_nearest_match": Case(
         _j3,

@@ -8,7 +8,7 @@ from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, r6, show, sql
 from tidemark.catalog.events import E1, PAIRS, events, pairs, spaced_sql
 from tidemark.catalog.events import fold_sql
-from tidemark.catalog.joins import DATED, MATCH, OVERRIDE, matched, overridden
+from tidemark.catalog.joins import DATED, MATCH, OVERRIDE, dated, matched, overridden
 from tidemark.catalog.signal import KEYS
 from tidemark.catalog.text import CONVERSIONS, DIST, FLAGS, conversions
 from tidemark.functions.scores import BANDS_PROBABILITY, band, conversion_flags
@@ -63,18 +63,38 @@ A1 = sql(
 
 
 def _a2(spark, base):
-    rows = matched(spark, base).filter("matched").withColumn("other", F.concat("own_text", F.lit("-"), "ref_text"))
-    out = mt.text_compare_report(rows, "other", "ref_text", "[A-Z]")
+    rows = matched(spark, base).filter("matched").withColumn("other", F.concat("own_text", F.lit("-Ａ①"), "ref_text"))
+    out = mt.text_compare_report(rows, "other", "ref_text", dated(spark, base)[0], ["t", "ref_no"], "[A-Z]")
     return show(out, *out.columns)
 
 
+def _a2_gated(spark, base):
+    """Only every second work's reference begins with the asked sign; the others get no report."""
+    ref = dated(spark, base)[0].withColumn("ref_text", F.when(F.col("ref_no") % 2 == 0, F.col("ref_text")).otherwise("1-none"))
+    rows = matched(spark, base).filter("matched")
+    parts = [
+        mt.text_compare_report(rows.filter(F.col("track_id") == k), "own_text", "ref_text", ref.filter(F.col("track_id") == k), ["t", "ref_no"], "^1-none").withColumn("track_id", F.lit(k).cast("long"))
+        for k in range(6)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("track_id", "pairs")
+
+
 A2 = sql(
     "",
     r"""SELECT count(*) AS pairs, round(avg(length(a) / greatest(1, length(b))::DOUBLE), 6) AS length_ratio, round(avg(CASE WHEN a = b THEN 1e0 ELSE 0e0 END), 6) AS same_share
-    FROM (SELECT regexp_replace(own_text || '-' || ref_text, '[\s\-]+', '', 'g') AS a, regexp_replace(ref_text, '[\s\-]+', '', 'g') AS b
+    FROM (SELECT regexp_replace(own_text || '-A1' || ref_text, '[\s\-]+', '', 'g') AS a, regexp_replace(ref_text, '[\s\-]+', '', 'g') AS b
       FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3)""",
     **DATED,
 )
+A2_GATED = sql(
+    "",
+    """SELECT track_id, count(*) AS pairs FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3 AND track_id < 6
+      AND (SELECT arg_min(f.ref_no, (f.t, f.ref_no)) % 2 FROM rf f WHERE f.track_id = rf.track_id) = 1 GROUP BY 1""",
+    **DATED,
+)
 
 
 def _a3(spark, base):
@@ -581,6 +601,7 @@ A32 = sql(
 CASES = {
     "a1_alignment_report": Case(_a1, A1),
     "a2_text_compare_report": Case(_a2, A2),
+    "a2_text_compare_gated": Case(_a2_gated, A2_GATED),
     "a3_conversion_summary": Case(_a3, A3),
     "a3_conversion_issues": Case(
         _a3_issues,

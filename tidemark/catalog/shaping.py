@@ -102,12 +102,22 @@ def _g1(spark, base):
 
 
 def _g2(spark, base):
-    rows = seg(spark, base).filter(~tx.is_blank(F.col("text")))
-    merged = sg.merge_close_segments(rows, KEYS, GAP, MAX)
+    merged = sg.merge_close_segments(seg(spark, base), KEYS, GAP, MAX)
     return show(merged, *KEYS, "seg_no", "start", "end", "text", "no_speech_prob")
 
 
-NONBLANK = f"SELECT * FROM v_seg WHERE {strip_sql('text')} <> ''"
+G2_COLUMNS = """SELECT work_id, track_id, seg_no, round("start", 6) AS "start", round("end", 6) AS "end", text,
+    round(no_speech_prob, 6) AS no_speech_prob FROM merged"""
+
+
+def _g2_blank_runs(spark, base):
+    """Most segments blank, in long runs that close no group."""
+    rows = seg(spark, base).withColumn("text", F.when(F.col("seg_no") % 25 < 2, F.col("text")).otherwise(F.lit(" ")))
+    merged = sg.merge_close_segments(rows, KEYS, 100.0, MAX)
+    return show(merged, *KEYS, "seg_no", "start", "end", "text", "no_speech_prob")
+
+
+BLANK_RUNS = "SELECT * REPLACE (CASE WHEN seg_no % 25 < 2 THEN text ELSE ' ' END AS text) FROM v_seg"
 
 
 def _g3(spark, base):
@@ -211,6 +221,28 @@ def _g9(spark, base):
     return out.select(*KEYS, "seg_no", "translation", "source")
 
 
+def _g9_duplicates(spark, base):
+    """Several cached rows of a segment: one with the fingerprint, one with another or none, one blank."""
+    rows = seg(spark, base)
+    cached = rows.filter(F.col("seg_no") % 2 == 0)
+    mark = lambda m, t: cached.select(*KEYS, "seg_no", "text", F.concat(F.lit(t), F.col("text")).alias("translation"), F.lit(m).cast("string").alias("fingerprint"))
+    blank = mark("A", "").withColumn("translation", F.lit(" "))
+    cache = mark("B", "other ").unionByName(mark("A", "old ").filter("track_id % 3 = 0")).unionByName(mark(None, "plain ").filter("track_id % 3 < 2")).unionByName(blank)
+    out = sg.incremental_apply(
+        rows, cache, KEYS, F.lit("A"), lambda todo: todo.withColumn("translation", F.concat(F.lit("new "), F.col("text")))
+    )
+    return out.select(*KEYS, "seg_no", "translation", "source")
+
+
+G9_DUPLICATES = sql(
+    "v_seg",
+    f"""SELECT work_id, track_id, seg_no, CASE source WHEN 'blank' THEN '' WHEN 'computed' THEN 'new ' || text WHEN 'reused' THEN 'old ' || text
+      ELSE 'plain ' || text END AS translation, source FROM (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN 'blank'
+        WHEN seg_no % 2 = 0 AND track_id % 3 = 0 THEN 'reused' WHEN seg_no % 2 = 0 AND track_id % 3 = 1 THEN 'reused without fingerprint'
+        ELSE 'computed' END AS source FROM v_seg)""",
+)
+
+
 G9 = sql(
     "v_seg",
     f"""SELECT work_id, track_id, seg_no, CASE source WHEN 'blank' THEN '' WHEN 'computed' THEN 'new ' || text ELSE 'old ' || text END
@@ -232,16 +264,8 @@ def _g11(spark, base):
 
 CASES = {
     "g1_limit_runs": Case(_g1, sql("v_seg", "SELECT work_id, track_id, seg_no, text FROM runs", runs=runs_sql("v_seg", 1))),
-    "g2_merge_close_segments": Case(
-        _g2,
-        sql(
-            "v_seg",
-            """SELECT work_id, track_id, seg_no, round("start", 6) AS "start", round("end", 6) AS "end", text,
-            round(no_speech_prob, 6) AS no_speech_prob FROM merged""",
-            nb=NONBLANK,
-            **merge_ctes("nb"),
-        ),
-    ),
+    "g2_merge_close_segments": Case(_g2, sql("v_seg", G2_COLUMNS, **merge_ctes("v_seg"))),
+    "g2_merge_blank_runs": Case(_g2_blank_runs, sql("v_seg", G2_COLUMNS, br=BLANK_RUNS, **merge_ctes("br", 100.0))),
     "g3_split_text": Case(
         _g3,
         sql(
@@ -269,6 +293,7 @@ CASES = {
         sql("v_seg", "SELECT work_id, track_id, seg_no, '【' || text || '】' AS translation FROM v_seg"),
     ),
     "g9_incremental_apply": Case(_g9, G9),
+    "g9_incremental_apply_duplicates": Case(_g9_duplicates, G9_DUPLICATES),
     "g10_fallback_text": Case(
         _g10,
         sql(

@@ -39,13 +39,37 @@ def _s1(dialect):
     return run
 
 
+def _s1_keep(spark, base):
+    """Every third text blank: this dialect keeps the line."""
+    rows = turns(spark, base).withColumn("text", F.when(F.col("seg_no") % 3 == 0, " ").otherwise(F.col("text")))
+    path = scratch_path(spark, "lrc")
+    sk.write_text(sk.timed_lines(rows, KEYS, "source"), path, "track_id", ["seg_no", "part"])
+    lines = rd.read_timed_lines(spark, path, "keep")
+    track = F.regexp_extract("file", r"track_id=(\d+)/", 1).cast("long")
+    return show(lines.select(track.alias("track_id"), "t", "text"), "track_id", "t", "text")
+
+
+S1_KEEP = sql(
+    "v_conv",
+    f"""SELECT track_id, round("start", 6) AS t, CASE WHEN seg_no % 3 = 0 THEN '' ELSE {strip_sql('text')} END AS text FROM o""",
+    o=ONE_LINE,
+)
 S1 = sql("v_conv", f"""SELECT track_id, round("start", 6) AS t, {strip_sql('text')} AS text FROM o WHERE {strip_sql('text')} <> ''""", o=ONE_LINE)
 
 
 def _s1_numbered(spark, base):
     lines = rd.read_lines(spark, written_lines(spark, base, "both", F.concat(F.lit("T"), F.col("track_id").cast("string"))), numbered=True)
     track = F.regexp_extract("file", r"track_id=(\d+)/", 1).cast("long").alias("track_id")
-    return lines.groupBy(track).agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("[ti:T")).alias("titles"))
+    return lines.select(track, F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", r"^\[\d+:[\d.]+\]", "").alias("body"))
+
+
+S1_NUMBERED = sql(
+    "v_conv",
+    f"""SELECT track_id, 2 * n - 1 AS line_no, {strip_sql('text')} AS body FROM p UNION ALL SELECT track_id, 2 * n, {strip_sql('text')} FROM p
+      UNION ALL SELECT DISTINCT track_id, 0::BIGINT, '[ti:T' || track_id || ']' FROM p""",
+    o=ONE_LINE,
+    p="SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seg_no) AS n FROM o",
+)
 
 
 def _s2(spark, base):
@@ -68,12 +92,11 @@ def _s3(spark, base):
     good = F.to_json(F.struct(F.col("user_id").alias("audio"), F.col("value").alias("time"), F.col("event_type").alias("action")))
     line = F.when(F.col("event_id") % 50 == 0, "{bad").when(F.col("event_id") % 50 == 1, "").otherwise(good)
     e.select(line.alias("value")).write.text(path)
-    rows = rd.read_log(spark, path, "audio bigint, time double, action string")
-    return rows.groupBy("audio", "action").agg(F.count("*").alias("n"), F.round(F.sum("time"), 3).alias("total"))
+    return show(rd.read_log(spark, path, "audio bigint, time double, action string"), "audio", "time", "action")
 
 
 def _s4(spark, base):
-    files = rd.list_media(spark, [written_lines(spark, base)], [".txt", ".TXT"])
+    files = rd.list_media(spark, [f"{base}/no such folder", written_lines(spark, base)], [".txt", ".TXT"])
     track = F.regexp_extract("path", r"track_id=(\d+)/", 1).cast("long")
     return files.filter("length > 0").select(track.alias("track_id")).distinct()
 
@@ -209,6 +232,7 @@ _SHOUT = f"""SELECT *, {_TS} AS ts, {strip_sql('text')} AS s, CASE WHEN seg_no %
 K1 = {
     "both": """SELECT work_id, track_id, seg_no, 0 AS part, ts || s AS line FROM z UNION ALL SELECT work_id, track_id, seg_no, 1, ts || z FROM z
       UNION ALL SELECT DISTINCT work_id, track_id, -1::BIGINT, 0, '[ti:a]' FROM z UNION ALL SELECT DISTINCT work_id, track_id, -1::BIGINT, 1, '[by:b' || track_id || ']' FROM z""",
+    "translated": "SELECT work_id, track_id, seg_no, 0 AS part, ts || z AS line FROM z",
     "inline": "SELECT work_id, track_id, seg_no, 0 AS part, ts || s || ' ｜ ' || z AS line FROM z",
 }
 
@@ -235,8 +259,9 @@ K2 = sql(
 
 
 def _k3(spark, base):
-    docs = sk.segment_documents(fx.segments(spark, base), "m", F.lit("f"))
-    return docs.select(*KEYS, "part", F.size("segments").cast("long").alias("n"), F.element_at("segments", 1)["seg_no"].alias("first_no"))
+    docs = sk.segment_documents(fx.segments(spark, base), "m", F.lit("f"), part_rows=20)
+    placed = docs.select(*KEYS, "part", F.posexplode("segments").alias("nth", "s"))
+    return placed.select(*KEYS, "part", F.col("nth").cast("long").alias("nth"), "s.seg_no", F.round("s.start", 6).alias("start"), "s.text")
 
 
 def _k4(spark, base):
@@ -253,7 +278,7 @@ def _k5(spark, base):
     for rows in (broken.filter("line_no % 2 = 0"), broken.filter("line_no % 2 = 1")):
         sk.append_log(rows, path, ["audio", "time"], {"action": ["add", "del"]})
     back = rd.read_log(spark, path, "audio bigint, time double, action string, line_no bigint")
-    return back.groupBy("audio", "action").agg(F.count("*").alias("n"))
+    return show(back, "audio", "time", "action", "line_no")
 
 
 def _k6(spark, base):
@@ -285,11 +310,12 @@ CASES = {
         sql("v_conv", f"""SELECT track_id, round("start", 6) AS t, {strip_sql('text')} AS text FROM o WHERE {strip_sql('text')} <> ''
         AND "start" < 6000""", o=ONE_LINE),
     ),
-    "s1_numbered_lines": Case(_s1_numbered, "SELECT conv_id AS track_id, 2 * count(*) + 1 AS n_lines, 1::BIGINT AS titles FROM conversations GROUP BY 1"),
+    "s1_read_timed_lines_keep": Case(_s1_keep, S1_KEEP),
+    "s1_numbered_lines": Case(_s1_numbered, S1_NUMBERED),
     "s2_read_segments_json": Case(_s2, S2),
     "s3_read_log": Case(
         _s3,
-        """SELECT user_id AS audio, event_type AS action, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE event_id % 50 > 1 GROUP BY 1, 2""",
+        """SELECT user_id AS audio, round(value, 6) AS time, event_type AS action FROM events WHERE event_id % 50 > 1""",
     ),
     "s4_list_media": Case(_s4, "SELECT DISTINCT conv_id AS track_id FROM conversations"),
     "s5_count_media_by_dir": Case(_s5(False), sql("v_paths", "SELECT dir, count(*) AS files FROM d GROUP BY 1", d=_P5)),
@@ -315,15 +341,17 @@ CASES = {
     "s11_read_fold_results": Case(_s11, S11),
     "k1_timed_lines_both": Case(_k1("both"), sql("v_conv", K1["both"], o=ONE_LINE, z=_SHOUT)),
     "k1_timed_lines_inline": Case(_k1("inline"), sql("v_conv", K1["inline"], o=ONE_LINE, z=_SHOUT)),
+    "k1_timed_lines_translated": Case(_k1("translated"), sql("v_conv", K1["translated"], o=ONE_LINE, z=_SHOUT)),
     "k2_write_srt": Case(_k2, K2),
     "k3_write_segments_json": Case(
         _k3,
-        sql("v_seg", "SELECT work_id, track_id, 0 AS part, count(*) AS n, min(seg_no) AS first_no FROM v_seg GROUP BY 1, 2"),
+        sql("v_seg", """SELECT work_id, track_id, (seg_no // 20)::INTEGER AS part, row_number() OVER (PARTITION BY track_id, seg_no // 20 ORDER BY seg_no) - 1 AS nth,
+          seg_no, round("start", 6) AS "start", text FROM v_seg"""),
     ),
     "k4_write_events_json": Case(
         _k4, sql("v_cand", "SELECT work_id, track_id, rank, cand_no, round(t, 6) AS t, round(score, 6) AS score, merged FROM ax", **E1)
     ),
-    "k5_append_log": Case(_k5, sql("v_marks", "SELECT audio, action, count(*) AS n FROM v_marks WHERE line_no % 4 <> 0 GROUP BY 1, 2")),
+    "k5_append_log": Case(_k5, sql("v_marks", "SELECT audio, round(time, 6) AS time, action, line_no FROM v_marks WHERE line_no % 4 <> 0")),
     "k6_skip_existing": Case(_k6, "SELECT p_partkey AS item_no, CASE WHEN p_partkey % 3 = 0 THEN 'skip' ELSE 'write' END AS action FROM part"),
     "k7_package_manifest": Case(_k7, K7),
 }

@@ -89,10 +89,12 @@ def _f6(spark, base):
 
 def _f6_full(spark, base):
     docs = fx.spread(fx.table(spark, base, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.md5(tx.normalize_nfkc(F.col("text"))).alias("digest"))
+    mixed = F.concat("text", F.lit("ﬁ①Ⅷ㍿ｶﾞＡ…"))
+    return docs.select("doc_id", F.md5(tx.normalize_nfkc(mixed)).alias("digest"))
 
 
 F6 = r"""SELECT doc_id, md5(regexp_replace(text, '[\s、。，．！？!?…‥・「」『』（）()【】\[\]〜~ー―—\-]+', '', 'g')) AS digest FROM documents"""
+F6_FULL = F6.replace("regexp_replace(text,", "regexp_replace(text || 'fi1VIII株式会社ガA...',")
 
 
 def _wide_name(name="name"):
@@ -401,7 +403,7 @@ CASES = {
     "f4_clean_line": Case(_f4, F4),
     "f5_parse_aligned_array": Case(_f5, F5),
     "f6_normalize_text": Case(_f6, F6),
-    "f6_normalize_nfkc": Case(_f6_full, F6),
+    "f6_normalize_nfkc": Case(_f6_full, F6_FULL),
     "f7_fold_width": Case(_f7, sql("v_names", "SELECT item_no, name AS folded FROM v_names")),
     "f8_keep_numeric_prefix": Case(_f8, F8),
     "f9_balance_brackets": Case(_f9, F9),

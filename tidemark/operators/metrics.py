@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalize_text
+from tidemark.functions.text import normalize_nfkc
 from tidemark.operators.joins import label_candidates, match_events, top_per_key
 from tidemark.plans.blocks import fit, number_rows, quantiles, scan, unblock
 from tidemark.plans.nearest import count_within, nearest, window_best
@@ -58,15 +58,23 @@ def alignment_report(matched: DataFrame, tie: str) -> DataFrame:
     return rows.withColumn("hit_rate", share(F.col("matched_rows"), F.col("ref_rows")))
 
 
-def text_compare_report(pairs: DataFrame, ours: str, theirs: str, require: str | None = None) -> DataFrame:
-    """Mean ratio of normalised lengths and share of identical lines; ``require`` is a pattern the text must show."""
-    a, b = normalize_text(F.col(ours)), normalize_text(F.col(theirs))
-    rows = pairs if require is None else pairs.filter(F.col(theirs).rlike(require))
-    return rows.agg(
+def text_compare_report(pairs: DataFrame, ours: str, theirs: str, reference: DataFrame | None = None, order: Sequence[str] = (), require: str = ".") -> DataFrame:
+    """Mean ratio of normalised lengths and share of identical lines (compatibility characters folded).
+
+    With ``reference`` the report is made only if its first row by ``order`` shows the pattern ``require`` in
+    ``theirs``; otherwise it has no row.  Without pairs there is no row either.
+    """
+    a, b = normalize_nfkc(F.col(ours)), normalize_nfkc(F.col(theirs))
+    rows = pairs.select(a.alias("_a"), b.alias("_b"))
+    out = rows.agg(
         F.count("*").alias("pairs"),
-        F.avg(F.length(a) / F.greatest(F.lit(1), F.length(b))).alias("length_ratio"),
-        F.avg(F.when(a == b, 1.0).otherwise(0.0)).alias("same_share"),
-    )
+        F.avg(F.length("_a") / F.greatest(F.lit(1), F.length("_b"))).alias("length_ratio"),
+        F.avg(F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(0.0)).alias("same_share"),
+    ).filter("pairs > 0")
+    if reference is None:
+        return out
+    first = reference.agg(F.min_by(theirs, F.struct(*order)).alias("_first")).filter(F.col("_first").rlike(require))
+    return out.withColumn("_one", F.lit(1)).join(first.select(F.lit(1).alias("_one")), "_one").drop("_one")
 
 
 def conversion_summary(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,50 +75,6 @@ def read_timed_lines(spark: SparkSession, path: str, dialect: str = "compare") -
     return parse_timed_lines(read_lines(spark, path), dialect)
 
 
-def register_timed_text(spark: SparkSession) -> None:
-    """Register the ``timedtext`` format: ``spark.read.format("timedtext").load(path)``.
-
-    One input partition per file; use :func:`read_timed_lines` where single files are huge.
-    """
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class Reader(DataSourceReader):
-        def __init__(self, path):
-            self.path = path
-
-        def partitions(self):
-            import glob
-            import os
-
-            found = sorted(glob.glob(os.path.join(self.path, "**", "*.lrc"), recursive=True)) if os.path.isdir(self.path) else glob.glob(self.path)
-            return [InputPartition(f) for f in found] or [InputPartition(None)]
-
-        def read(self, partition):
-            import re
-
-            if partition.value is None:
-                return
-            form = re.compile(r"^\[(\d+):(\d+(?:[.:]\d+)?)\](.*)$")
-            with open(partition.value, encoding="utf-8-sig", errors="replace") as lines:
-                for number, raw in enumerate(lines):
-                    hit = form.match(raw.strip())
-                    if hit and hit.group(3).strip():
-                        yield partition.value, number, int(hit.group(1)) * 60 + float(hit.group(2).replace(":", ".")), hit.group(3).strip()
-
-    class TimedText(DataSource):
-        @classmethod
-        def name(cls):
-            return "timedtext"
-
-        def schema(self):
-            return "file string, line_no int, t double, text string"
-
-        def reader(self, schema):
-            return Reader(self.options["path"])
-
-    spark.dataSource.register(TimedText)
-
-
 def read_segments_json(spark: SparkSession, path: str) -> DataFrame:
     """Segment documents to segment rows, with the document's fingerprint."""
     docs = spark.read.schema(SEGMENT_DOCUMENT).json(path)
@@ -129,9 +87,22 @@ def read_log(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
 
 
 def list_media(spark: SparkSession, paths: Sequence[str], extensions: Sequence[str], recursive: bool = True) -> DataFrame:
-    """Files with one of the extensions, once per lower-cased path; contents are never read."""
+    """Files with one of the extensions, once per lower-cased path; contents are never read.
+
+    A path that does not exist is left out with a warning.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(list(paths)).select("path", "length", F.col("modificationTime").alias("modified"))
+    found = []
+    for path in paths:
+        try:
+            reader.load(path)
+            found.append(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"no such path, left out: {path}", stacklevel=2)
+    columns = ["path", "length", F.col("modificationTime").alias("modified")]
+    rows = reader.load(found).select(*columns) if found else spark.createDataFrame([], "path string, length bigint, modified timestamp")
     wanted = F.lower("path").rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")$")
     return rows.filter(wanted).groupBy(F.lower("path").alias("_key")).agg(
         F.min_by(F.struct("path", "length", "modified"), "path").alias("_f")

@@ -57,8 +57,10 @@ def srt_blocks(segments: DataFrame, keys: Sequence[str], bilingual: bool = True)
 
 def write_text(rows: DataFrame, path: str, track: str, order: Sequence[str], line: str = "line") -> None:
     """One folder per track; ranges keep a long track's lines in order over several part files."""
-    placed = rows.repartitionByRange(F.col(track), *[F.col(c) for c in order]).sortWithinPartitions(track, *order)
-    placed.select(F.col(track).cast("string").alias(track), line).write.mode("overwrite").partitionBy(track).text(path)
+    # the folder's column must be what the rows are sorted by, or the writer sorts them again, by folder alone
+    named = rows.withColumn(track, F.col(track).cast("string"))
+    placed = named.repartitionByRange(F.col(track), *[F.col(c) for c in order]).sortWithinPartitions(track, *order)
+    placed.select(track, line).write.mode("overwrite").partitionBy(track).text(path)
 
 
 def segment_documents(segments: DataFrame, model: str, fingerprint: Column, part_rows: int = 100_000) -> DataFrame:
