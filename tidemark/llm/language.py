@@ -43,6 +43,8 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     marks = _letter_table()[np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)]
     row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
     solid = marks > 0
+    if not solid.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     keep = solid.copy()
     keep[1:] |= solid[:-1]  # of a run of non-letters its first
     marks, row = marks[keep].astype(np.int64), row[keep]
@@ -55,8 +57,6 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     two = ((np.where(letter[:-1], row[:-1], row[1:]) << 48) | (a << 32) | (b << 16))[letter[:-1] | letter[1:]]
     three = ((row[1:-1] << 48) | (a[:-1] << 32) | (b[:-1] << 16) | marks[2:])[letter[1:-1]]
     codes = np.sort(np.concatenate([one, two, three]))
-    if not len(codes):
-        return codes, codes, codes
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     count = np.diff(np.concatenate([first, [len(codes)]]))
     found = codes[first]

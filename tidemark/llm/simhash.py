@@ -233,8 +233,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each near-duplicate group, the one of smallest key, with its columns; rows that repeat that key
-    count as copies. Rows without a key stay only if no row of their group has one."""
-    groups = near_groups(docs, key, text, **options)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    found = docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi")
-    return found.dropDuplicates([key])
+    count as copies. Rows without a key stay as they are, for nothing names them."""
+    groups = near_groups(docs.filter(F.col(key).isNotNull()), key, text, **options)
+    kept = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
+    found = docs.join(kept, docs[key] == kept["kept_key"], "left_semi").dropDuplicates([key])
+    return found.unionByName(docs.filter(F.col(key).isNull()))
