@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
 from tidemark.catalog.metrics import HITS, V3, hits
-from tidemark.catalog.signal import KEYS, candidates, feats_sql
+from tidemark.catalog.signal import KEYS, PLACES, W18_FULL, candidates, feats_sql, model_rows
 from tidemark.operators import models as md
+from tidemark.operators.metrics import auc
+from tidemark.operators.signal import FEATURES
 from tidemark.session import cut, scratch_path
 
 FEATS = ["score", "ref_score", "t"]
@@ -51,14 +53,57 @@ def _m1_sql():
     return M1.replace("WITH RECURSIVE ", extra.strip() + ",\n", 1)
 
 
+def _m1_full(spark, base):
+    """All 21 features of every candidate of a labelled track."""
+    out = md.training_set(model_rows(spark, base), fx.truth(spark, base), fx.labelled(spark, base), KEYS, FEATURES, 1.0)
+    return show(out.select(*KEYS, "t", *[F.round(c, PLACES.get(c, 3)).alias(c) for c in FEATURES], "dist", "label"), *KEYS, "t", *FEATURES, "dist", "label")
+
+
+M1_FULL = sql(
+    "v_truth v_labelled",
+    f"""SELECT work_id, track_id, idx * 1e0 AS t, {', '.join(FEATURES)}, round(d, 6) AS dist,
+      CASE WHEN d <= 20 THEN 1e0 ELSE 0e0 END AS label
+    FROM (SELECT r.*, (SELECT min(abs(g.t - r.idx)) FROM v_truth g WHERE g.track_id = r.track_id) AS d FROM fullrow r
+      WHERE r.track_id IN (SELECT track_id FROM v_labelled) AND r.track_id IN (SELECT track_id FROM framecount WHERE c >= 60))""",
+    framecount="SELECT track_id, count(*) AS c FROM (" + sql("v_frames", "SELECT track_id FROM v_frames") + ") GROUP BY 1",
+    fullrow=W18_FULL,
+)
+
+
 def _fitted(spark, base):
     data = rows(spark, base)
     return data, md.fit_classifiers(data, FEATS, small())
 
 
+ALL_ROWS = "SELECT work_id, track_id, cand_no, true AS valid FROM hd"
+
+
+def share_of(column):
+    """Whether a column is a finite number from 0 to 1."""
+    return F.coalesce(F.col(column).between(0.0, 1.0) & ~F.isnan(column), F.lit(False))
+
+
+def sound(table):
+    """Invariants of a table of qualities: counts of both classes as they are, areas and rates from 0 to 1."""
+    rates = [F.col(c).isNull() | share_of(c) for c in ("precision", "recall")]
+    return table.select("method", F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"), (share_of("auc") & rates[0] & rates[1]).alias("valid"))
+
+
+def sound_sql(*methods):
+    listed = ", ".join(f"('{m}')" for m in methods)
+    return sql(
+        V3,
+        f"""SELECT method, (SELECT count(*) FROM hd WHERE hit) AS positives, (SELECT count(*) FROM hd WHERE NOT hit) AS negatives, true AS valid
+          FROM (VALUES {listed}) m(method)""",
+        **HITS,
+    )
+
+
 def _m2(spark, base):
     data, models = _fitted(spark, base)
-    return md.apply_models(data, models).select(*KEYS, "cand_no", *[F.round(f"p_{n}", 6).alias(f"p_{n}") for n in models])
+    out = md.apply_models(data, models)
+    valid = share_of("p_rf") & share_of("p_gbt") & share_of("p_lr")
+    return out.select(*KEYS, "cand_no", valid.alias("valid"))
 
 
 def _m3(spark, base):
@@ -66,7 +111,9 @@ def _m3(spark, base):
     small_ = {"numTrees": 10, "minInstancesPerNode": 5, "maxDepth": 4}
     models = md.fit_refiners(data, FEATS, 5.0, small_, {"maxIter": 5, "maxDepth": 3})
     scored = md.apply_models(data, models, "r_").withColumn("refine", md.ensemble_score([f"r_{n}" for n in models]))
-    return show(scored, *KEYS, "cand_no", "refine")
+    # the target lies from 0 to 1, and trees give means of targets
+    valid = share_of("r_rf") & F.col("refine").isNotNull() & ~F.isnan("refine")
+    return scored.select(*KEYS, "cand_no", valid.alias("valid"))
 
 
 def _m4(spark, base):
@@ -74,34 +121,92 @@ def _m4(spark, base):
     return show(data, *KEYS, "cand_no", "mixed")
 
 
+def _m5(spark, base):
+    """Isotonic regression of the label on a coarse score, at every candidate."""
+    data = rows(spark, base).withColumn("coarse", F.round(F.col("peak") / 20) * 20.0)
+    out = md.calibrate(data, md.fit_calibrator(data, "coarse"), "coarse")
+    return show(out, *KEYS, "cand_no", "probability")
+
+
+M5 = sql(
+    V3,
+    """SELECT work_id, track_id, cand_no, round(least(greatest(c.v, 0), 95e-2), 6) + 0.0 AS probability
+      FROM hd JOIN c ON c.x = round(hd.peak / 20) * 2e1""",
+    **HITS,
+    d="""SELECT round(peak / 20) * 2e1 AS x, sum(CASE WHEN hit THEN 1e0 ELSE 0e0 END) AS y, count(*) AS n FROM hd GROUP BY 1""",
+    s="SELECT x, y, n, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(n) OVER (ORDER BY x) AS sn FROM d",
+    jk="SELECT j.i AS j, k.i AS k, (k.sy - j.sy + j.y) / (k.sn - j.sn + j.n) AS mean FROM s j JOIN s k ON k.i >= j.i",
+    ji="SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM jk",
+    c="SELECT s.x, max(low) AS v FROM ji JOIN s USING (i) GROUP BY 1",
+)
+
+
 def _held_out(spark, base):
     data = rows(spark, base)
     return md.leave_one_group_out(data, "work_id", md.scorer(FEATS, logistic))
 
 
-def _m5(spark, base):
-    scored = _held_out(spark, base).select("cand_no", F.round("score", 9).alias("score"), "label")
-    out = md.calibrate(scored, md.fit_calibrator(scored))
-    return show(out, "cand_no", "score", "probability")
+def mean_label(training):
+    """The plainest learner: every row gets the mean label of the training rows."""
+    mean = training.agg(F.avg("label").alias("score"))
+    return lambda held: held.drop("score").join(mean.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k")
 
 
 def _m6(spark, base):
-    return show(_held_out(spark, base), *KEYS, "cand_no", "score")
+    out = md.leave_one_group_out(rows(spark, base), "work_id", mean_label)
+    return show(out, *KEYS, "cand_no", "score")
+
+
+M6 = sql(
+    V3,
+    """SELECT work_id, track_id, cand_no, round((hits_all - hits_own) / (rows_all - rows_own), 6) + 0.0 AS score
+      FROM (SELECT work_id, track_id, cand_no, sum(hit::INT) OVER () AS hits_all, count(*) OVER () AS rows_all,
+        sum(hit::INT) OVER (PARTITION BY work_id) AS hits_own, count(*) OVER (PARTITION BY work_id) AS rows_own FROM hd)
+      WHERE hits_own > 0""",
+    **HITS,
+)
+
+
+def _m6_learners(spark, base):
+    return _held_out(spark, base).select(*KEYS, "cand_no", share_of("score").alias("valid"))
+
+
+def standardised(training):
+    """One feature, standardised by the training rows, through a sigmoid."""
+    stats = training.agg(F.avg("peak").alias("_m"), F.stddev_pop("peak").alias("_s")).withColumn("_k", F.lit(1))
+    score = 1 / (1 + F.exp(-(F.col("peak") - F.col("_m")) / F.col("_s")))
+    return lambda held: held.join(stats, F.lit(1) == F.col("_k")).withColumn("score", score).drop("_k", "_m", "_s")
 
 
 def _m7(spark, base):
-    out = md.in_sample_vs_held_out(rows(spark, base), "fold", md.scorer(FEATS, logistic))
-    return show(out, *out.columns)
+    out = md.in_sample_vs_held_out(rows(spark, base), "fold", standardised)
+    return show(out, "method", "positives", "negatives", "auc", "precision", "recall")
+
+
+def _qualities(source):
+    return f"""SELECT count(*) FILTER (hit) AS positives, count(*) FILTER (NOT hit) AS negatives,
+        (SELECT avg(CASE WHEN a.score > b.score THEN 1e0 WHEN a.score = b.score THEN 5e-1 ELSE 0e0 END) FROM {source} a JOIN {source} b ON a.hit AND NOT b.hit) AS auc,
+        avg(hit::INT) FILTER (score >= 5e-1) AS precision, avg((score >= 5e-1)::INT) FILTER (hit) AS recall FROM {source}"""
+
+
+_SIGMOID = "1 / (1 + exp(-(peak - m) / s))"
+M7 = sql(
+    V3,
+    f"""SELECT method, positives, negatives, round(auc, 6) AS auc, round(precision, 6) AS precision, round(recall, 6) AS recall FROM (
+      SELECT 'in sample' AS method, * FROM ({_qualities('seen')}) UNION ALL SELECT 'held out', * FROM ({_qualities('unseen')}))""",
+    **HITS,
+    seen=f"SELECT hit, {_SIGMOID} AS score FROM hd, (SELECT avg(peak) AS m, stddev_pop(peak) AS s FROM hd)",
+    unseen=f"""SELECT hit, {_SIGMOID} AS score FROM hd JOIN (SELECT f.fold, avg(peak) AS m, stddev_pop(peak) AS s
+      FROM (SELECT DISTINCT work_id % 3 AS fold FROM hd) f JOIN hd ON hd.work_id % 3 <> f.fold GROUP BY 1) t ON t.fold = hd.work_id % 3""",
+)
 
 
 def _m8(spark, base):
-    out = md.ablate(rows(spark, base), "fold", FEATS, logistic, [["t"]])
-    return show(out, *out.columns)
+    return sound(md.ablate(rows(spark, base), "fold", FEATS, logistic, [["t"]]))
 
 
 def _m9(spark, base):
-    out = md.compare_algorithms(rows(spark, base), "fold", FEATS, "score", small)
-    return show(out, *out.columns)
+    return sound(md.compare_algorithms(rows(spark, base), "fold", FEATS, "score", small))
 
 
 def _m9_baseline(spark, base):
@@ -109,19 +214,22 @@ def _m9_baseline(spark, base):
 
 
 def _m10(spark, base):
-    out = md.train_modes(rows(spark, base), "fold", FEATS, logistic)
-    return show(out, *out.columns)
+    return sound(md.train_modes(rows(spark, base), "fold", FEATS, logistic))
 
 
 def _m11(spark, base):
     data = rows(spark, base)
-    out = md.tune(data, "fold", FEATS, {"numTrees": [5], "maxDepth": [2, 4]}, [0])
-    return show(out, *out.columns)
+    grid = {"numTrees": [5], "maxDepth": [2, 4]}
+    out = md.tune(data, "fold", FEATS, grid, [0, 1, 2])
+    known = F.col("chosen").isin('{"maxDepth": 2, "numTrees": 5}', '{"maxDepth": 4, "numTrees": 5}')
+    return out.select("fold", (known & share_of("auc")).alias("valid"))
 
 
 def _m12(spark, base):
     data, models = _fitted(spark, base)
-    return show(md.feature_importance(models["rf"], FEATS, spark), "feature", "importance")
+    out = md.feature_importance(models["rf"], FEATS, spark)
+    whole = out.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")).withColumn("_k", F.lit(1))
+    return out.withColumn("_k", F.lit(1)).join(whole, "_k").select("feature", (share_of("importance") & F.col("sums_to_one")).alias("valid"))
 
 
 def _m13(spark, base):
@@ -134,16 +242,41 @@ def _m13_stack(spark, base):
     weights = md.auc_weighted(data, ["score", "ref_score"])
     stacked = md.apply_models(data, {"s": md.stack_scores(data, ["score", "ref_score"])})
     blend = md.ensemble_score(["score", "ref_score"], [w + 1e-6 for w in weights])
-    return show(stacked.withColumn("weighted", blend), *KEYS, "cand_no", "weighted", "p_s")
+    low, high = F.least("score", "ref_score"), F.greatest("score", "ref_score")
+    valid = share_of("p_s") & (blend >= low - 1e-9) & (blend <= high + 1e-9) & F.lit(all(0 <= w <= 0.5 for w in weights))
+    return stacked.select(*KEYS, "cand_no", valid.alias("valid"))
+
+
+def _m13_grid(spark, base):
+    """Area of the best blend on the grid; the single columns are among its points."""
+    data = rows(spark, base).withColumn("_all", F.lit(1)).withColumn("hit", F.col("label") > 0)
+    weights = md.best_grid_weights(data, ["score", "ref_score"], 4)
+    out = auc(data.withColumn("_s", md.ensemble_score(["score", "ref_score"], weights)), ["_all"], "_s", "hit")
+    return show(out, "auc")
+
+
+M13_GRID = sql(
+    V3,
+    """SELECT round(max(auc), 6) AS auc FROM (SELECT w, avg(CASE WHEN a.s > b.s THEN 1e0 WHEN a.s = b.s THEN 5e-1 ELSE 0e0 END) AS auc
+      FROM bl a JOIN bl b USING (w) WHERE a.hit AND NOT b.hit GROUP BY 1)""",
+    **HITS,
+    bl="SELECT hit, w, score * (w / 4e0) + ref_score * ((4 - w) / 4e0) AS s FROM hd, range(5) r(w)",
+)
 
 
 def _m14(spark, base):
+    """Scores of a reloaded model against those of the model that was saved."""
     data = rows(spark, base)
     model = md.fit_classifiers(data, FEATS, logistic())["lr"]
     path = scratch_path(spark, "model")
-    md.save_model(model, path, FEATS, {"rows": "all"}, spark)
-    again, _ = md.load_model(path, FEATS, spark)
-    return show(md.apply_models(data, {"lr": again}), *KEYS, "cand_no", "p_lr")
+    counts = data.agg(F.count("*").alias("rows"), F.sum("label").alias("positives")).first().asDict()
+    held = md.quality(md.leave_one_group_out(data, "fold", md.scorer(FEATS, logistic))).first().asDict()
+    info = {**counts, "held_out": held, "settings": {"c": md.LOGISTIC_C}}
+    md.save_model(model, path, FEATS, info, spark)
+    again, meta = md.load_model(path, FEATS, spark)
+    both = md.apply_models(md.apply_models(data, {"lr": model}), {"lr": again}, "q_")
+    same = (F.col("p_lr") == F.col("q_lr")) & F.lit(meta["rows"] == counts["rows"] and meta["held_out"] == held and "settings" in meta)
+    return both.select(*KEYS, "cand_no", same.alias("valid"))
 
 
 def _m15(spark, base):
@@ -151,21 +284,26 @@ def _m15(spark, base):
     model = md.fit_classifiers(data, FEATS, logistic())["lr"]
     record = md.quality(_held_out(spark, base)).first().asDict()
     out = md.in_sample_audit(data, model, record)
-    return show(out, *out.columns)
+    kept = F.lit(True)
+    for name in ("auc", "precision", "recall"):
+        kept = kept & (F.col(f"recorded_{name}") == F.lit(float(record[name] or 0.0)))
+    return out.select((share_of("auc") & kept).alias("valid"))
 
 
 CASES = {
     "m1_build_training_set": Case(_m1, _m1_sql()),
-    "m2_fit_classifiers": Case(_m2),
-    "m3_fit_refiners": Case(_m3),
+    "m1_build_training_set_full": Case(_m1_full, M1_FULL),
+    "m2_fit_classifiers": Case(_m2, sql(V3, ALL_ROWS, **HITS)),
+    "m3_fit_refiners": Case(_m3, sql(V3, ALL_ROWS, **HITS)),
     "m4_ensemble_score": Case(
         _m4, sql("v_cand", "SELECT work_id, track_id, cand_no, round((score + 3 * ref_score) / 4, 6) AS mixed FROM v_cand")
     ),
-    "m5_calibrate": Case(_m5),
-    "m6_leave_one_group_out": Case(_m6),
-    "m7_in_sample_vs_logo": Case(_m7),
-    "m8_ablate": Case(_m8),
-    "m9_compare_algorithms": Case(_m9),
+    "m5_calibrate": Case(_m5, M5),
+    "m6_leave_one_group_out": Case(_m6, M6),
+    "m6_leave_one_group_out_learners": Case(_m6_learners, sql(V3, ALL_ROWS + " WHERE work_id IN (SELECT work_id FROM hd WHERE hit)", **HITS)),
+    "m7_in_sample_vs_logo": Case(_m7, M7),
+    "m8_ablate": Case(_m8, sound_sql("all", "without t")),
+    "m9_compare_algorithms": Case(_m9, sound_sql("only score", "rf", "gbt", "lr", "svm")),
     "m9_single_feature_baseline": Case(
         _m9_baseline,
         sql(
@@ -174,9 +312,9 @@ CASES = {
             **HITS,
         ),
     ),
-    "m10_train_modes": Case(_m10),
-    "m11_tune": Case(_m11),
-    "m12_feature_importance": Case(_m12),
+    "m10_train_modes": Case(_m10, sound_sql("plain", "weighted", "strict")),
+    "m11_tune": Case(_m11, "SELECT f::VARCHAR AS fold, true AS valid FROM range(3) r(f)"),
+    "m12_feature_importance": Case(_m12, "SELECT unnest(['score', 'ref_score', 't']) AS feature, true AS valid"),
     "m13_rank_average": Case(
         _m13,
         sql(
@@ -186,7 +324,8 @@ CASES = {
             FROM v_cand""",
         ),
     ),
-    "m13_ensembling_variants": Case(_m13_stack),
-    "m14_save_and_load": Case(_m14),
-    "m15_in_sample_audit": Case(_m15),
+    "m13_ensembling_variants": Case(_m13_stack, sql(V3, ALL_ROWS, **HITS)),
+    "m13_grid_weights": Case(_m13_grid, M13_GRID),
+    "m14_save_and_load": Case(_m14, sql(V3, ALL_ROWS, **HITS)),
+    "m15_in_sample_audit": Case(_m15, "SELECT true AS valid"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
+from tidemark.catalog.text import CUE_SQL, CUES
 from tidemark.operators import signal as sg
 from tidemark.plans.blocks import unblock
 from tidemark.plans.folds import suppress
@@ -51,9 +52,9 @@ WALK = """SELECT track_id, rn, idx, [idx] AS kept, true AS keep FROM ranked WHER
 PEAKS = "SELECT mx.* FROM mx JOIN walk USING (track_id, idx) WHERE keep"
 
 
-def peak_sql(body, **ctes):
+def peak_sql(body, views="", **ctes):
     return sql(
-        "v_frames", body, sm=SMOOTH, lv=LEVELS, mx=MAXIMA, ranked=RANKED, walk=WALK, pk=PEAKS, **ctes
+        f"v_frames {views}", body, sm=SMOOTH, lv=LEVELS, mx=MAXIMA, ranked=RANKED, walk=WALK, pk=PEAKS, **ctes
     )
 
 
@@ -142,8 +143,8 @@ EDGE_SQL = """SELECT work_id, track_id, idx, (idx - coalesce(max(j) FILTER (j <=
     FROM around JOIN lf USING (work_id, track_id, idx, median, n_frames) GROUP BY work_id, track_id, idx, n_frames"""
 
 
-def feats_sql(body):
-    return peak_sql(body, around=AROUND, lf=LEVEL_SQL, ef=EDGE_SQL)
+def feats_sql(body, views="", **ctes):
+    return peak_sql(body, views, around=AROUND, lf=LEVEL_SQL, ef=EDGE_SQL, **ctes)
 
 
 def _r(*names):
@@ -214,7 +215,36 @@ W15 = sql(
 def _w15_spectrum(spark, base):
     points = sg.frames_from_pcm(pcm(spark, base), KEYS, 64, 8, 16).select(*KEYS, "idx")
     out = sg.spectral_features(points, fx.samples(spark, base), KEYS, 8, 4, 16000.0, min_samples=32)
-    return show(out, *KEYS, "idx", "centroid", "flatness")
+    return show(out.withColumn("centroid", F.round("centroid", 3)), *KEYS, "idx", "centroid", "flatness")
+
+
+def spectrum_ctes(points, step, half, least, rate=16000):
+    """Spectral values of the samples around the points ``(track_id, f)``, by a direct Fourier sum."""
+    turn = "2 * pi() * k * q / size"
+    lifted = "(x - m) * (5e-1 - 5e-1 * cos(2 * pi() * q / (size - 1)))"
+    return {
+        "sn": "SELECT track_id, count(*) AS n FROM v_samples GROUP BY 1",
+        "spt": f"""SELECT p.track_id, f, x, row_number() OVER w - 1 AS q, count(*) OVER g AS size, avg(x) OVER g AS m,
+          sign(x - avg(x) OVER g) AS c FROM {points} p JOIN sn USING (track_id) JOIN v_samples s ON s.track_id = p.track_id
+          AND s.idx >= greatest(0, f - {half}) * {step} AND s.idx < least(n, (f + {half}) * {step})
+          WINDOW w AS (PARTITION BY p.track_id, f ORDER BY s.idx), g AS (PARTITION BY p.track_id, f)""",
+        "szc": f"""SELECT track_id, f, sum(CASE WHEN c <> b THEN 1 ELSE 0 END) / (any_value(size) - 1)::DOUBLE AS zcr
+          FROM (SELECT *, lag(c) OVER (PARTITION BY track_id, f ORDER BY q) AS b FROM spt WHERE size > {least}) GROUP BY 1, 2""",
+        "sbn": f"""SELECT track_id, f, size, k, sqrt(sum({lifted} * cos({turn})) ** 2 + sum({lifted} * sin({turn})) ** 2) + 1e-12 AS mag
+          FROM spt, range(0, {step * half + 1}) r(k) WHERE k <= size // 2 AND size > {least} GROUP BY 1, 2, 3, 4""",
+        "spc": f"""SELECT track_id, f, sum(mag * k * {rate} / size) / sum(mag) AS centroid, exp(avg(ln(mag))) / avg(mag) AS flatness FROM sbn GROUP BY 1, 2""",
+    }
+
+
+W15_SPECTRUM = sql(
+    "v_samples",
+    """SELECT work_id, track_id, f AS idx, round(coalesce(centroid, 0), 3) + 0.0 AS centroid, round(coalesce(flatness, 0), 6) + 0.0 AS flatness
+    FROM fr LEFT JOIN spc USING (track_id, f)""",
+    n="SELECT work_id, track_id, count(*) AS n FROM v_samples GROUP BY 1, 2",
+    fr="SELECT *, unnest(range(greatest(1, (n - 16) // 8))) AS f FROM n",
+    pts="SELECT track_id, f FROM fr",
+    **spectrum_ctes("pts", 8, 4, 32),
+)
 
 
 def _w16(spark, base):
@@ -265,6 +295,37 @@ W18 = feats_sql(
 )
 
 
+def model_rows(spark, base):
+    """Candidates with all 21 features; samples and frames of these tables share their index."""
+    return sg.model_row(candidates(spark, base), fx.samples(spark, base), fx.conversation_segments(spark, base), KEYS, CUES, 1, 20, 16000.0, 16)
+
+
+PLACES = {"rel_time": 6, "zcr": 6, "flatness": 6}
+
+
+def _w18_full(spark, base):
+    rows = model_rows(spark, base)
+    return rows.select(*KEYS, "idx", *[(F.round(F.col(c).cast("double"), PLACES.get(c, 3)) + F.lit(0.0)).alias(c) for c in sg.FEATURES])
+
+
+_RANKED = "rank_energy gap_prev rel_time".split()
+W18_FULL = feats_sql(
+    """SELECT work_id, track_id, idx, """
+    + ", ".join(f"round(({ {'signature': 'pre30 - post2', 'contrast': 'peak - pre10'}.get(c, c)})::DOUBLE, 3) + 0.0 AS {c}" for c in _W18)
+    + """, (row_number() OVER o - 1)::DOUBLE AS rank_energy, coalesce(idx - lag(idx) OVER o, 0)::DOUBLE AS gap_prev,
+      round(idx / greatest(1e-6, n_frames), 6) + 0.0 AS rel_time, round(coalesce(zcr, 0), 6) + 0.0 AS zcr,
+      round(coalesce(centroid, 0), 3) + 0.0 AS centroid, round(coalesce(flatness, 0), 6) + 0.0 AS flatness, coalesce(cue, 0)::DOUBLE AS txt
+    FROM lf JOIN ef USING (work_id, track_id, idx) LEFT JOIN szc z ON z.track_id = lf.track_id AND z.f = lf.idx
+      LEFT JOIN spc y ON y.track_id = lf.track_id AND y.f = lf.idx LEFT JOIN cu ON cu.track_id = lf.track_id AND cu.at = lf.idx
+    WINDOW o AS (PARTITION BY lf.track_id ORDER BY peak DESC, idx)""",
+    "v_samples v_conv",
+    pts="SELECT track_id, idx AS f FROM lf",
+    **spectrum_ctes("pts", 1, 20, 16),
+    cw=f"""SELECT track_id, "start", {CUE_SQL.format(t='text')} AS w FROM v_conv""",
+    cu="""SELECT p.track_id, p.f AS at, max(w) AS cue FROM pts p JOIN cw USING (track_id) WHERE w > 0 AND abs("start" - p.f) <= 6 GROUP BY 1, 2""",
+)
+
+
 def _j14(spark, base):
     ours = unblock(smoothed(spark, base)).select(*KEYS, "idx", "smooth")
     rows = fx.frames(spark, base)
@@ -328,7 +389,7 @@ CASES = {
     "w13_rank_energy": _ranks("rank_energy"),
     "w14_gap_prev": _ranks("gap_prev"),
     "w15_zero_crossings": Case(_w15, W15),
-    "w15_spectral_features": Case(_w15_spectrum),
+    "w15_spectral_features": Case(_w15_spectrum, W15_SPECTRUM),
     "w16_shape_features_formula": Case(
         _w16,
         feats_sql(
@@ -339,6 +400,7 @@ CASES = {
     ),
     "w17_landmarks": Case(_w17, W17),
     "w18_candidate_context": Case(_w18, W18),
+    "w18_model_row": Case(_w18_full, W18_FULL),
     "j14_tolerance_diff": Case(
         _j14,
         "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, 'smooth' AS column_name, 0e0 AS max_error, 0::BIGINT AS null_mismatches, true AS within",

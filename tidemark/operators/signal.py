@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import best_cue
 from tidemark.plans.blocks import fit, frame_windows, number_rows, position_bound, quantiles, shift, unblock
 from tidemark.plans.folds import suppress
 from tidemark.session import cut
@@ -428,6 +429,25 @@ def candidate_table(
     return rank_features(rows, keys, hop, bound=bound).withColumn("t", F.round(F.col("idx") * F.lit(hop), 2))
 
 
+def model_row(
+    candidates: DataFrame,
+    samples: DataFrame,
+    segments: DataFrame,
+    keys: Sequence[str],
+    cues: Sequence[tuple[str, str, int]],
+    step: int,
+    half: int,
+    rate: float,
+    min_samples: int = 512,
+    radius: float = 6.0,
+) -> DataFrame:
+    """The candidates of :func:`candidate_table` with all of ``FEATURES``: adds the three spectral ones and ``txt``,
+    the strongest cue said within ``radius`` seconds."""
+    rows = spectral_features(candidates, samples, keys, step, half, rate, min_samples)
+    told = best_cue(rows, segments, keys, cues, radius=radius).withColumnRenamed("cue", "txt")
+    return told.drop("cue_tags")
+
+
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Mapping[str, float]) -> DataFrame:
     """Compare two computations of one table: rows missing on a side, largest error per column, verdict."""
     left = a.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in columns], F.lit(1).alias("_in_a"))

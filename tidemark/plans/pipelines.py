@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.scores import formula_score
 from tidemark.operators import events as ev
 from tidemark.operators import signal as sg
+from tidemark.operators.joins import best_cue
 from tidemark.session import cut
 
 
 def hand_made_score() -> Column:
-    return formula_score(F.col("signature"), F.col("recover"), F.lit(0.0))
+    return formula_score(F.col("signature"), F.col("recover"), F.col("txt"))
 
 
 def detect_events(
@@ -27,13 +28,20 @@ def detect_events(
     gap: float = ev.MERGE_GAP,
     window: float = ev.SNAP_WINDOW,
     snap_by: str = "peak",
+    segments: DataFrame | None = None,
+    cues: Sequence[tuple[str, str, int]] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Frames to (candidates, events): peaks, features, score, threshold, merge, snap.
 
-    Candidates are identified by their frame index and written once, because selection and snapping
-    both read them.
+    ``txt`` is the strongest cue said near a candidate, 0 without ``segments``.  Candidates are identified by
+    their frame index and written once, because selection and snapping both read them.
     """
-    rows = sg.candidate_table(frames, keys, hop).withColumn("score", score()).withColumn("cand_no", F.col("idx"))
+    found = sg.candidate_table(frames, keys, hop)
+    if segments is None:
+        found = found.withColumn("txt", F.lit(0).cast("long"))
+    else:
+        found = best_cue(found, segments, keys, cues).withColumnRenamed("cue", "txt").drop("cue_tags")
+    rows = found.withColumn("score", score()).withColumn("cand_no", F.col("idx"))
     kept = cut(rows if least is None else ev.threshold_filter(rows, "score", least))
     picked = ev.merge_candidates(kept, keys, "cand_no", top, gap)
     return kept, ev.snap(picked, kept, keys, snap_by, F.col("rank_energy"), window)
