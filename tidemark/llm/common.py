@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import scratch_path
@@ -43,6 +45,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed_text(text: Column) -> Column:
+    """A text column compressed row by row, for joins that move whole texts."""
+
+    def pack(column: pa.Array) -> pa.Array:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if t is None else compress(t.encode()) for t in column.to_pylist()], pa.binary())
+
+    return F.arrow_udf(pack, T.BinaryType())(text)
+
+
+def unpacked_text(column: pa.Array) -> pa.Array:
+    """The texts of a column made by ``packed_text``."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if t is None else expand(t) for t in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_words, map_arrow, mixed, packed_words, row_slices, stored, text_buffer, word_spans
+from tidemark.llm.common import hash_words, map_arrow, mixed, packed_text, packed_words, row_slices, stored, text_buffer, unpacked_text, word_spans
 
 #: Words of the runs whose least hash chooses the shard of a window.
 ANCHOR = 8
@@ -182,7 +182,7 @@ def _pieces(marked: DataFrame, kind: str, window: int, anchor: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, _, s in _slices(batch.column(1), window, anchor):
+            for low, _, s in _slices(unpacked_text(batch.column(1)), window, anchor):
                 if not len(s.at):
                     continue
                 keep = _shared_windows(s, low, batch.column(2))
@@ -313,7 +313,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     counts = _anchor_counts(lean, window, anchor).groupBy("h").agg(F.sum("n").alias("n"))
     repeated = stored(counts.filter("n > 1").select("h"), "anchors")
     shared = stored(_doc_anchors(lean, kind, window, anchor).join(repeated, "h").groupBy("k").agg(F.collect_set("h").alias("hashes")), "shared")
-    pieces = _pieces(lean.join(shared, "k").select("k", "t", "hashes"), kind, window, anchor)
+    moved = lean.select("k", packed_text(F.col("t")).alias("t"))
+    pieces = _pieces(moved.join(shared, "k").select("k", "t", "hashes"), kind, window, anchor)
     distinct = stored(pieces.groupBy("h", "piece").agg(F.min("k").alias("k"), F.min_by("a", "k").alias("a")), "pieces")
     crowded = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > shard).select("h"), "crowded")
     shards = distinct.join(crowded, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h", "k", "a")
@@ -387,23 +388,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spans = repeated_spans(docs, key, text, window, anchor, shard)
     others = [] if digest else [c for c in docs.columns if c not in (key, text)]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest") if others else F.lit(None).cast("int").alias("rest")
-    lean = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), rest)
+    lean = docs.select(F.col(key).alias("k"), packed_text(F.col(text)).alias("t"), rest)
     joined = lean.join(spans, "k", "left").select("k", "t", "hashes", "firsts", "rest")
     types = joined.schema
-    schema = T.StructType([types["k"], *(T.StructField(c, t) for c, t in DIGEST.items())] if digest else [types["k"], types["t"], types["rest"]])
+    own = T.StructField("t", docs.schema[text].dataType)
+    schema = T.StructType([types["k"], *(T.StructField(c, t) for c, t in DIGEST.items())] if digest else [types["k"], own, types["rest"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[list, list, list] = ([], [], [])
-            for low, _, s in _slices(batch.column(1), window, anchor):
+            texts = unpacked_text(batch.column(1))
+            for low, _, s in _slices(texts, window, anchor):
                 for held, more in zip(found, _outcome(s, _covered(s, low, batch, window), digest)):
                     held += more
             if digest:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.string())], ["k", "n_words", "n_removed", "kept_sha256"])
             else:
-                new = pa.array(found[2], pa.binary()).cast(batch.column(1).type)
-                old = pa.compute.if_else(pa.array([x is None for x in found[2]], pa.bool_()), batch.column(1), new)
-                yield pa.RecordBatch.from_arrays([batch.column(0), old, batch.column(4)], ["k", "t", "rest"])
+                new = pa.array(found[2], pa.large_binary()).cast(texts.type)
+                kept = pa.compute.if_else(pa.array([x is None for x in found[2]], pa.bool_()), texts, new)
+                yield pa.RecordBatch.from_arrays([batch.column(0), kept.cast(pa.string()), batch.column(4)], ["k", "t", "rest"])
 
     out = map_arrow(joined, run, schema)
     if digest:
