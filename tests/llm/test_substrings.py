@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tests.check import compare, duck
 from tests.llm.conftest import BASE
 from tidemark.llm.catalog import CASES
 from tidemark.llm.substrings import SuffixAutomaton, earlier_windows, remove_repeats
@@ -62,6 +63,10 @@ def test_query_equals_plain_rule(spark, sample):
     assert got == plain(sample.items())
 
 
+def test_query_equals_sql(spark):
+    assert compare(duck(BASE), CASES["op1_substrings"].run(spark, BASE), CASES["op1_substrings"].sql) is None
+
+
 def test_texts_come_back_shortened(documents):
     passage = " ".join(f"p{i}" for i in range(25))
     df = documents({1: f"first\n\n{passage} end", 2: f"other  start {passage}\tlast  words", 3: None, 4: "short  text "})

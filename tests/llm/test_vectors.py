@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tests.check import compare, duck
 from tests.llm.conftest import BASE
 from tidemark.llm.catalog import CASES
 from tidemark.llm.vectors import Split, compare_tiles, near_vectors
@@ -50,6 +51,10 @@ def test_query_equals_full_matrix(spark):
     assert {r[0]: tuple(r[1:]) for r in CASES["op2_vectors"].run(spark, BASE).collect()} == plain(rows)
 
 
+def test_query_equals_sql(spark):
+    assert compare(duck(BASE), CASES["op2_vectors"].run(spark, BASE), CASES["op2_vectors"].sql) is None
+
+
 def test_empty_and_unsound_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert near_vectors(spark.createDataFrame([], schema)).collect() == []

@@ -34,10 +34,44 @@ def op1_substrings(spark: SparkSession, base: str) -> DataFrame:
     return remove_repeats(_table(spark, base, "documents"), digest=True)
 
 
+OP1_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM texts)
+), firsts AS (
+  SELECT run, min({'d': doc_id, 'i': i}) AS f FROM windows GROUP BY run
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM windows JOIN firsts USING (run) WHERE f.d < doc_id OR (f.d = doc_id AND f.i < i)
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS rest, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_vectors(spark: SparkSession, base: str) -> DataFrame:
     return near_vectors(_table(spark, base, "embeddings"))
 
 
+OP2_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a)::BIGINT AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM reached r GROUP BY r.a
+"""
+
+
 def op3_chat(spark: SparkSession, base: str) -> DataFrame:
     return render_chat(_table(spark, base, "conversations"))
 
@@ -93,8 +127,8 @@ def op10_leaks(spark: SparkSession, base: str) -> DataFrame:
 
 
 CASES: dict[str, Case] = {
-    "op1_substrings": Case(op1_substrings),
-    "op2_vectors": Case(op2_vectors),
+    "op1_substrings": Case(op1_substrings, OP1_SQL),
+    "op2_vectors": Case(op2_vectors, OP2_SQL),
     "op3_chat": Case(op3_chat, OP3_SQL),
     "op4_token_counts": Case(op4_token_counts),
     "op5_language_id": Case(op5_language_id),
