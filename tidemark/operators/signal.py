@@ -28,28 +28,21 @@ def frames_from_pcm(
 ) -> DataFrame:
     """Mean-square level in dB of each frame from sample blocks ``(keys, block_no, samples)``.
 
-    Squares are first summed per ``hop`` cell inside a block, so only one small row per cell is
+    Squares are first summed per ``hop`` cell, in each task before the shuffle, so only one small row per cell is
     shuffled; a frame then adds its ``win/hop`` cells.  A track of ``len`` samples has
     ``max(1, (len - win) div hop)`` frames.
     """
     if win % hop or block_len % hop:
         raise ValueError("win and block_len must be multiples of hop")
     cells_per_frame = win // hop
-    cell_ids = F.sequence(F.lit(0), (F.floor((F.size("samples") - 1) / hop)).cast("int"))
-    cells = F.transform(
-        cell_ids,
-        lambda c: F.struct(
-            (F.col("block_no") * (block_len // hop) + c).alias("cell"),
-            F.aggregate(
-                F.slice("samples", c * hop + 1, F.lit(hop)),
-                F.lit(0.0),
-                lambda acc, x: acc + x.cast("double") * x.cast("double"),
-            ).alias("power"),
-            F.size(F.slice("samples", c * hop + 1, F.lit(hop))).cast("long").alias("count"),
-        ),
+    x = F.col("_x").cast("double")
+    cell = F.col("block_no") * (block_len // hop) + F.floor(F.col("_i") / hop)
+    rows = (
+        pcm.select(*keys, "block_no", F.posexplode("samples").alias("_i", "_x"))
+        .groupBy(*keys, cell.alias("cell"))
+        .agg(F.sum(x * x).alias("power"), F.count(F.lit(1)).alias("count"))
     )
-    rows = pcm.filter(F.size("samples") > 0).select(*keys, F.inline(cells))
-    lengths = pcm.groupBy(*keys).agg(F.sum(F.size("samples")).alias("_len"))
+    lengths = rows.groupBy(*keys).agg(F.sum("count").alias("_len"))
     per_frame = rows.select(
         *keys,
         F.explode(F.sequence(F.greatest(F.col("cell") - (cells_per_frame - 1), F.lit(0)), F.col("cell"))).alias("idx"),
