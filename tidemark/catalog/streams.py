@@ -9,12 +9,22 @@ from tidemark.catalog.base import Case, r6, show, sql
 from tidemark.catalog.events import E1, events
 from tidemark.catalog.labels import LAST, LIVE
 from tidemark.catalog.signal import KEYS
+from tidemark.session import scratch_path
 from tidemark.streaming import streams as st
 
 
+PARTS = 4
+
+
 def event_stream(spark, base):
-    schema = fx.table(spark, base, "events").schema
-    return st.file_stream(spark, base, "events.parquet", schema)
+    """The events as a stream of several files in time order, one to a micro-batch."""
+    events_ = fx.table(spark, base, "events")
+    path = scratch_path(spark, "events-in")
+    top = events_.agg(F.max("event_id")).first()[0] or 0
+    for k in range(PARTS):
+        part = F.floor(F.col("event_id") * PARTS / (top + 1)) == k
+        events_.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return st.file_stream(spark, path, "*.parquet", events_.schema)
 
 
 def _st1(spark, base):
@@ -160,6 +170,16 @@ def _st8(spark, base):
     return out.select("track_id", r6(fx.hours("first_ts")).alias("first_t"), "members")
 
 
+def _st8_stream(spark, base):
+    """The same groups kept over the micro-batches; the last batch has them all."""
+    rows = event_stream(spark, base).filter("event_type = 'purchase' AND value >= 100")
+    found = st.sessions(rows.select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts")), ["track_id"], "ts", "30 hours")
+    emitted = st.run_available(found, "complete")
+    last = emitted.agg(F.max("_batch").alias("_last"))
+    out = emitted.join(last, F.col("_batch") == F.col("_last"))
+    return out.select("track_id", r6(fx.hours("first_ts")).alias("first_t"), "members")
+
+
 ST8 = sql(
     "v_truth",
     """SELECT track_id, round(min(t), 6) AS first_t, count(*) AS members FROM (SELECT *, sum(CASE WHEN t - p < 30 THEN 0 ELSE 1 END)
@@ -178,4 +198,5 @@ CASES = {
     "st6_current_line_stream": Case(_st6_stream, ST6),
     "st7_log_tail": Case(_st7, ST7),
     "st8_sessions": Case(_st8, ST8),
+    "st8_sessions_stream": Case(_st8_stream, ST8),
 }
