@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, stored
 
 #: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 CACHE_BYTES = 40
 
 # the tokenizer always separates a letter (a-z, or Latin-1 in UTF-8) from one of these signs
