@@ -231,10 +231,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each near-duplicate group, the one of smallest key, with its columns; rows that repeat that key
-    count as copies. Rows without a key stay as they are, for nothing names them."""
-    groups = near_groups(docs.filter(F.col(key).isNotNull()), key, text, **options)
+def representatives(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The row of each of ``(key, component_id)`` groups that has the smallest key, and all rows without a key."""
     kept = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
     found = docs.join(kept, docs[key] == kept["kept_key"], "left_semi").dropDuplicates([key])
     return found.unionByName(docs.filter(F.col(key).isNull()))
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate group, the one of smallest key, with its columns; rows that repeat that key
+    count as copies. Rows without a key stay as they are, for nothing names them."""
+    return representatives(docs, near_groups(docs.filter(F.col(key).isNotNull()), key, text, **options), key)
