@@ -58,23 +58,30 @@ def alignment_report(matched: DataFrame, tie: str) -> DataFrame:
     return rows.withColumn("hit_rate", share(F.col("matched_rows"), F.col("ref_rows")))
 
 
-def text_compare_report(pairs: DataFrame, ours: str, theirs: str, reference: DataFrame | None = None, order: Sequence[str] = (), require: str = ".") -> DataFrame:
-    """Mean ratio of normalised lengths and share of identical lines (compatibility characters folded).
+def text_compare_report(
+    pairs: DataFrame, ours: str, theirs: str, reference: DataFrame | None = None, order: Sequence[str] = (), require: str = ".", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Mean ratio of normalised lengths and share of identical lines (compatibility characters folded), one report
+    for each of ``keys``.
 
-    With ``reference`` the report is made only if its first row by ``order`` shows the pattern ``require`` in
-    ``theirs``; otherwise it has no row.  Without pairs there is no row either.
+    With ``reference`` a report is made only if its first row by ``order`` shows the pattern ``require`` in
+    ``theirs``; otherwise it has no row.  Without pairs there is no row either.  Null keys are a key of their own.
     """
     a, b = normalize_nfkc(F.col(ours)), normalize_nfkc(F.col(theirs))
-    rows = pairs.select(a.alias("_a"), b.alias("_b"))
-    out = rows.agg(
+    rows = pairs.select(*keys, a.alias("_a"), b.alias("_b"))
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("pairs"),
         F.avg(F.length("_a") / F.greatest(F.lit(1), F.length("_b"))).alias("length_ratio"),
         F.avg(F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(0.0)).alias("same_share"),
     ).filter("pairs > 0")
     if reference is None:
         return out
-    first = reference.agg(F.min_by(theirs, F.struct(*order)).alias("_first")).filter(F.col("_first").rlike(require))
-    return out.withColumn("_one", F.lit(1)).join(first.select(F.lit(1).alias("_one")), "_one").drop("_one")
+    first = reference.groupBy(*keys).agg(F.min_by(theirs, F.struct(*order)).alias("_first")).filter(F.col("_first").rlike(require))
+    named = first.select(F.lit(1).alias("_one"), *[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = F.col("_one_here") == F.col("_one")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return out.withColumn("_one_here", F.lit(1)).join(named, same, "left_semi").drop("_one_here")
 
 
 def conversion_summary(rows: DataFrame) -> DataFrame:
