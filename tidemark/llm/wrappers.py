@@ -244,10 +244,8 @@ def _content_path(wrapper: list) -> list[str] | None:
 
     whole = visit(wrapper, [])
     named = [x for x in found if x[1] and 5 * x[0] >= whole] or [x for x in found if 3 * x[0] >= whole]
-    # an inner element wins over one that adds little around it
-    best = max((x[0] for x in named), default=0)
-    close = [x for x in named if 10 * x[0] >= 9 * best]
-    return max(close, key=lambda x: (len(x[2]), x[0]))[2] if best else None
+    # of nested ones the outermost: titles and leads around an inner one belong to the article
+    return max(named, key=lambda x: (x[0], -len(x[2])))[2] if named and whole else None
 
 
 def _template(wrapper: list) -> list[list]:
