@@ -13,6 +13,7 @@ from tidemark.llm.chat import render_chat
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.packing import pack
+from tidemark.llm.periods import find_runs, planted, run_digest
 from tidemark.llm.quality import judge
 from tidemark.llm.simhash import near_groups
 from tidemark.llm.substrings import remove_repeats
@@ -126,6 +127,10 @@ def op10_leaks(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(_table(spark, base, "documents"), _table(spark, base, "benchmark"))
 
 
+def op11_runs(spark: SparkSession, base: str) -> DataFrame:
+    return run_digest(find_runs(planted(_table(spark, base, "documents"))))
+
+
 CASES: dict[str, Case] = {
     "op1_substrings": Case(op1_substrings, OP1_SQL),
     "op2_vectors": Case(op2_vectors, OP2_SQL),
@@ -137,4 +142,5 @@ CASES: dict[str, Case] = {
     "op8_quality": Case(op8_quality),
     "op9_main_text": Case(op9_main_text),
     "op10_leaks": Case(op10_leaks),
+    "op11_runs": Case(op11_runs),
 }
