@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import render_chat
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.language import held_out, identify, learn_profiles
+from tidemark.llm.mixing import copies
 from tidemark.llm.packing import pack
 from tidemark.llm.periods import find_runs, planted, run_digest
 from tidemark.llm.quality import judge
@@ -19,6 +20,7 @@ from tidemark.llm.simhash import near_groups
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.tokens import count_tokens
 from tidemark.llm.vectors import near_vectors
+from tidemark.llm.whitening import whiten
 from tidemark.llm.wrappers import extract_main_text
 
 
@@ -131,6 +133,52 @@ def op11_runs(spark: SparkSession, base: str) -> DataFrame:
     return run_digest(find_runs(planted(_table(spark, base, "documents"))))
 
 
+def op12_whitening(spark: SparkSession, base: str) -> DataFrame:
+    return whiten(_table(spark, base, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_mix(spark: SparkSession, base: str) -> DataFrame:
+    taken = copies(_table(spark, base, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents
+), sources AS (
+  SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source)
+), levels AS (
+  SELECT 0 AS n, (SELECT sum(source_size)::DOUBLE / sum(w)::DOUBLE FROM sources) AS level
+  UNION ALL
+  SELECT n + 1, (SELECT (sum(source_size)::BIGINT - coalesce(sum(CASE WHEN source_size * 3 < w * level THEN source_size * 3 END), 0)::BIGINT)::DOUBLE
+                  / sum(CASE WHEN source_size * 3 < w * level THEN 0 ELSE w END)::DOUBLE FROM sources)
+  FROM levels WHERE n < 60
+), targets AS (
+  SELECT source, source_size, CASE WHEN source_size * 3 < w * level THEN (source_size * 3)::DOUBLE ELSE w * level END AS target
+  FROM sources, (SELECT arg_max(level, n) AS level FROM levels)
+), rated AS (
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS part
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets)
+), placed AS (
+  SELECT s.doc_id, s.source, size, u, source_size, target, whole, part, size > source_size * 0.001::DOUBLE AS large
+  FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+), alike AS (
+  SELECT source, doc_id, size, u, part, size * count(*) AS total, row_number() OVER (PARTITION BY source ORDER BY size DESC, u, doc_id NULLS FIRST) AS n
+  FROM placed WHERE large GROUP BY source, doc_id, size, u, part
+), draws AS (
+  SELECT source, doc_id, size, n, u * total < part * total AS drawn, part * total - CASE WHEN u * total < part * total THEN total ELSE 0 END AS owed FROM alike WHERE n = 1
+  UNION ALL
+  SELECT a.source, a.doc_id, a.size, a.n, a.u * total < d.owed + part * total,
+         d.owed + part * total - CASE WHEN a.u * total < d.owed + part * total THEN total ELSE 0 END
+  FROM draws d JOIN alike a ON a.source IS NOT DISTINCT FROM d.source AND a.n = d.n + 1
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * (whole + CASE WHEN large THEN drawn::INTEGER ELSE (p.u < part)::INTEGER END))::BIGINT AS taken
+FROM placed p LEFT JOIN draws d ON large AND p.source IS NOT DISTINCT FROM d.source AND p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.size = d.size
+"""
+
+
 CASES: dict[str, Case] = {
     "op1_substrings": Case(op1_substrings, OP1_SQL),
     "op2_vectors": Case(op2_vectors, OP2_SQL),
@@ -143,4 +191,6 @@ CASES: dict[str, Case] = {
     "op9_main_text": Case(op9_main_text),
     "op10_leaks": Case(op10_leaks),
     "op11_runs": Case(op11_runs),
+    "op12_whitening": Case(op12_whitening),
+    "op13_mix": Case(op13_mix, OP13_SQL),
 }
