@@ -2,8 +2,8 @@
 
 import corpus_pipeline
 from tests.llm.conftest import BASE
+from tests.llm.test_near_copies import plain_copies
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_groups, plain_print
 from tests.llm.test_substrings import plain
 from tidemark.llm.common import stored
 from tidemark.llm.quality import judge
@@ -19,7 +19,7 @@ def test_every_stage(spark):
     raw, good, single, short, clean = texts
     kept = {r.doc_id for r in judge(docs, spark.read.parquet(f"{BASE}/labels.parquet")).collect() if r.kept}
     assert set(good) == kept and all(raw[i] == t for i, t in good.items())
-    groups = plain_groups({i: plain_print(t) for i, t in good.items()})
+    groups = plain_copies(good)
     assert single == {i: t for i, t in good.items() if groups[i] == i}
     want = plain(single.items())
     assert set(short) == set(single)

@@ -102,3 +102,9 @@ def test_forest_keeps_fewer_links_than_nodes():
     for i, others in ((0, [1, 2, 3]), (1, [0, 2]), (4, [5]), (3, [4])):
         forest.add(i, np.array(others))
     assert len(forest.links) == 5 and len(set(forest.label.tolist())) == 1
+
+
+def test_repeated_keys_keep_the_same_row_in_every_run(documents):
+    docs = documents([(1, f"text number {k} of the first key") for k in range(40)] + [(2, "another")])
+    kept = [sorted(r.text for r in keep_representatives(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2

@@ -20,6 +20,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     x, y = F.col(a), F.col(b)
     edges = links.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges = stored(edges, "links")
+    known = _digest(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,10 +28,9 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        small = stored(small, "links")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = small
-        if same:
+        edges = stored(small, "links")
+        before, known = known, _digest(edges)
+        if known == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -38,14 +38,22 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
+def _digest(edges: DataFrame) -> tuple[int, ...]:
+    """How many links there are, and sums of two hashes of them: equal for equal sets."""
+    hashes = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
+    return tuple(int(v or 0) for v in edges.agg(F.count("*"), *hashes).first())
+
+
 class Forest:
     """Links among n nodes of one block that join the same groups as all links it is told of, fewer than n of them.
 
+    Nodes of one ``label`` are in one group from the start.
+
     Every node keeps a group label, so a row whose links stay inside its group costs one look.
     """
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    def __init__(self, n: int, label: np.ndarray | None = None) -> None:
+        self.label = np.arange(n) if label is None else label
         self.links: list[tuple[int, int]] = []
 
     def add(self, i: int, others: np.ndarray) -> None:
