@@ -11,6 +11,7 @@ from tidemark.catalog.text import strip_sql
 from tidemark.session import scratch_path
 from tidemark.sources import readers as rd
 from tidemark.sources import sinks as sk
+from tidemark.streaming.streams import file_stream
 
 KEYS = fx.TRACK
 
@@ -271,6 +272,9 @@ def _k4(spark, base):
     return show(rows, *KEYS, "rank", "cand_no", "t", "score", "merged")
 
 
+K5 = sql("v_marks", "SELECT audio, round(time, 6) AS time, action, line_no FROM v_marks WHERE line_no % 4 <> 0")
+
+
 def _k5(spark, base):
     path = scratch_path(spark, "marks")
     marks = fx.marks(spark, base)
@@ -281,6 +285,20 @@ def _k5(spark, base):
     return show(back, "audio", "time", "action", "line_no")
 
 
+def _k5_stream(spark, base):
+    """The log as a stream of two files; the stream runs twice, so every batch is repeated."""
+    source, path = scratch_path(spark, "marks-in"), scratch_path(spark, "marks")
+    marks = fx.marks(spark, base)
+    broken = marks.withColumn("action", F.when(F.col("line_no") % 4 == 0, "???").otherwise(F.col("action")))
+    for k in range(2):
+        broken.filter(F.col("line_no") % 2 == k).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        rows = file_stream(spark, source, "*.parquet", broken.schema)
+        sk.append_log_stream(rows, path, scratch_path(spark, "marks-state"), ["audio", "time"], {"action": ["add", "del"]}).awaitTermination()
+    back = rd.read_log(spark, path, "audio bigint, time double, action string, line_no bigint")
+    return show(back, "audio", "time", "action", "line_no")
+
+
 def _k6(spark, base):
     rows = fx.names(spark, base).select("item_no", F.concat(F.lit("out/"), F.col("item_no").cast("string"), F.lit(".mp3")).alias("dst"))
     return sk.output_plan(rows, rows.filter("item_no % 3 = 0")).select("item_no", "action")
@@ -351,7 +369,8 @@ CASES = {
     "k4_write_events_json": Case(
         _k4, sql("v_cand", "SELECT work_id, track_id, rank, cand_no, round(t, 6) AS t, round(score, 6) AS score, merged FROM ax", **E1)
     ),
-    "k5_append_log": Case(_k5, sql("v_marks", "SELECT audio, round(time, 6) AS time, action, line_no FROM v_marks WHERE line_no % 4 <> 0")),
+    "k5_append_log": Case(_k5, K5),
+    "k5_append_log_stream": Case(_k5_stream, K5),
     "k6_skip_existing": Case(_k6, "SELECT p_partkey AS item_no, CASE WHEN p_partkey % 3 = 0 THEN 'skip' ELSE 'write' END AS action FROM part"),
     "k7_package_manifest": Case(_k7, K7),
 }

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.names import format_srt_ts, format_ts
 from tidemark.functions.text import is_blank, strip
@@ -84,12 +85,28 @@ def write_events_json(events: DataFrame, path: str) -> None:
 
 def append_log(records: DataFrame, path: str, required: Sequence[str], allowed: dict[str, Sequence[str]] | None = None) -> None:
     """Append records that have every required field and only allowed values."""
+    valid_records(records, required, allowed).write.mode("append").json(path)
+
+
+def valid_records(records: DataFrame, required: Sequence[str], allowed: dict[str, Sequence[str]] | None = None) -> DataFrame:
     rows = records
     for c in required:
         rows = rows.filter(F.col(c).isNotNull())
     for c, values in (allowed or {}).items():
         rows = rows.filter(F.col(c).isin(*values))
-    rows.write.mode("append").json(path)
+    return rows
+
+
+def append_log_stream(
+    records: DataFrame, path: str, state: str, required: Sequence[str], allowed: dict[str, Sequence[str]] | None = None
+) -> StreamingQuery:
+    """Start ``append_log`` as a stream. A micro-batch owns the folder of its number and writes it anew when it is repeated,
+    so a batch that ran twice, or a stream that starts again from its first file, leaves no record twice."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        valid_records(batch, required, allowed).write.mode("overwrite").json(f"{path}/_batch={number}")
+
+    return records.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
 def output_plan(wanted: DataFrame, existing: DataFrame, path: str = "dst", overwrite: bool = False) -> DataFrame:

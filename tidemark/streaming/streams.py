@@ -6,7 +6,7 @@ stateful processor API.  Windows close by watermark; rows later than it are drop
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ STAGES = {"prepare": (0.00, 0.02), "recognise": (0.02, 0.58), "translate": (0.58
 LEAST_FOR_ETA = 0.03
 WARN_BEFORE, HIT_AFTER, SEEK_BACK, LINE_LEAD = 3.0, 4.0, 0.4, 0.15
 LOG_LIMIT, LOG_DROP = 5000, 1000
+#: Seconds of media to one partition of stored lines.
+LINE_SLOT = 60.0
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -39,12 +41,17 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructTy
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "update", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, mode: str = "update", transform: Callable[[DataFrame], DataFrame] | None = None, conf: Mapping[str, str] | None = None
+) -> DataFrame:
     """Process everything available and return the emitted rows with ``_batch``.
 
-    Each micro-batch overwrites its own folder, so a retried batch leaves no duplicates.
+    Each micro-batch overwrites its own folder, so a retried batch leaves no duplicates. ``conf`` holds for this query only.
     """
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -54,6 +61,8 @@ def run_available(stream: DataFrame, mode: str = "update", transform: Callable[[
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.option("basePath", target).option("recursiveFileLookup", "false").parquet(f"{target}/_batch=*")
 
@@ -146,38 +155,25 @@ def playback_passes(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return unblock(out).drop("_prev", "_back")
 
 
-def passes_stream(positions: DataFrame, key: str) -> DataFrame:
-    """Streaming form of :func:`playback_passes`: state is the last position and the pass number."""
+def near_events(positions: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """Positions with ``near``: a code for each selected event that the position comes near (3 s before) or reaches (4 s after),
+    twice the event's number, plus one if reached.
 
-    def track(ids, frames, state):
-        import pandas as pd
-
-        last, number = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        numbers = []
-        for t in rows["t"]:
-            if last is not None and t < last - 0.4:
-                number += 1
-            last = float(t)
-            numbers.append(number)
-        state.update((last, number))
-        yield pd.DataFrame({key: rows[key], "seq": rows["seq"], "t": rows["t"], "pass_no": numbers})
-
-    return positions.select(key, "seq", "t").groupBy(key).applyInPandasWithState(
-        track, f"{key} bigint, seq bigint, t double, pass_no bigint", "last double, pass_no bigint", "append", "NoTimeout"
-    )
+    The few selected events of a track travel as one array, so the join gives one row per position, in a batch or a stream.
+    """
+    listed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("at"), F.col("event_no").cast("long").alias("no")))).alias("_events"))
+    ahead = lambda e: F.col("t") - e["at"]
+    close = F.filter("_events", lambda e: (ahead(e) >= -WARN_BEFORE) & (ahead(e) < HIT_AFTER))
+    codes = F.transform(close, lambda e: e["no"] * 2 + F.when(ahead(e) >= 0, 1).otherwise(0))
+    return positions.join(listed, key, "left").withColumn("near", codes).drop("_events")
 
 
 def alerts(passes: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    """First position of each pass that comes near (3 s before) or reaches (4 s after) an event.
-
-    ``events`` holds the few selected events per track, so the join stays linear in the positions.
-    """
-    rows = passes.join(events.select(key, "event_no", F.col("t").alias("_at")), key)
-    ahead = F.col("t") - F.col("_at")
-    kind = F.when((ahead >= 0) & (ahead < HIT_AFTER), "hit").when((ahead >= -WARN_BEFORE) & (ahead < 0), "approaching")
-    near = rows.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    return near.groupBy(key, "pass_no", "event_no", "kind").agg(F.min("seq").alias("seq"))
+    """First position of each pass that comes near (3 s before) or reaches (4 s after) an event."""
+    rows = near_events(passes, events, key).select(key, "pass_no", "seq", F.explode("near").alias("code"))
+    first = rows.groupBy(key, "pass_no", "code").agg(F.min("seq").alias("seq"))
+    kind = F.when(F.col("code") % 2 == 1, "hit").otherwise("approaching")
+    return first.select(key, "pass_no", F.floor(F.col("code") / 2).cast("int").alias("event_no"), kind.alias("kind"), "seq")
 
 
 def current_line(positions: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -185,6 +181,43 @@ def current_line(positions: DataFrame, lines: DataFrame, keys: Sequence[str]) ->
     return as_of(positions, lines, keys, "t", "start", {"line_no": "seg_no"}, LINE_LEAD, "seg_no")
 
 
+def _slot(t: Column, width: float) -> Column:
+    return F.floor(t / F.lit(float(width))).cast("long")
+
+
+def store_shown_lines(lines: DataFrame, keys: Sequence[str], path: str, width: float = LINE_SLOT) -> None:
+    """Write each line under every time slot in which it is shown; a key's last line, shown for ever, in a table of its own.
+
+    Of lines that start together the last number is shown. The size is that of the lines and of the media's duration in slots.
+    """
+    rows = lines.filter(F.col("start").isNotNull()).groupBy(*keys, "start").agg(F.max("seg_no").alias("line_no"))
+    rows = unblock(shift(fit(rows, keys, ["start"]), keys, ["start"], {"until": F.col("start")}, ahead=True))
+    ending = rows.filter(F.col("until").isNotNull())
+    slots = F.sequence(_slot(F.col("start"), width), _slot(F.col("until"), width))
+    ending.withColumn("slot", F.explode(slots)).repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/ending")
+    rows.filter(F.col("until").isNull()).select(*keys, "start", "line_no").write.mode("overwrite").parquet(f"{path}/last")
+
+
+def shown_line(positions: DataFrame, path: str, keys: Sequence[str], width: float = LINE_SLOT) -> DataFrame:
+    """``current_line`` from stored lines: only the slots that the positions fall into are read, and one last line for each key.
+
+    The slots of the positions are the only rows that reach the driver: at most the media's duration over ``width``.
+    """
+    spark = positions.sparkSession
+    at = positions.withColumn("_t", F.col("t") + F.lit(LINE_LEAD)).withColumn("slot", _slot(F.col("_t"), width))
+    wanted = [r[0] for r in at.select("slot").distinct().collect() if r[0] is not None]
+    final = spark.read.parquet(f"{path}/last")
+    kinds = {f.name: f.dataType.simpleString() for f in final.schema}
+    # the schema is given, so that a table without slots is read as empty
+    ending = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in {**kinds, "until": kinds["start"], "slot": "bigint"}.items())).parquet(f"{path}/ending")
+    ending = ending.filter(F.col("slot").isin(wanted)).select(*keys, "slot", "start", "until", F.col("line_no").alias("_no"))
+    last = final.select(*keys, F.col("start").alias("_last"), F.col("line_no").alias("_final"))
+    same = [F.col(f"p.{k}") == F.col(f"e.{k}") for k in [*keys, "slot"]]
+    shown = at.alias("p").join(ending.alias("e"), [*same, F.col("_t") >= F.col("e.start"), F.col("_t") < F.col("e.until")], "left")
+    found = shown.select(*[F.col(f"p.{c}").alias(c) for c in at.columns], "_no").join(last, list(keys), "left")
+    return found.select(*positions.columns, F.when(F.col("_t") >= F.col("_last"), F.col("_final")).otherwise(F.col("_no")).alias("line_no"))
+
+
 def log_tail(log: DataFrame, since: Column, limit: int = LOG_LIMIT, drop: int = LOG_DROP) -> DataFrame:
     """Lines from ``since`` on that a log keeping at most ``limit`` lines (dropping ``drop`` at a time) still has."""
     sizes = log.groupBy("run_id").agg((F.max("line_no") + 1).alias("_n"))
