@@ -234,10 +234,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 def representatives(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """The row of each of ``(key, component_id)`` groups that has the smallest key, and all rows without a key. Of rows that
     repeat that key the one of least hash stays, in every run."""
-    kept = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
-    found = docs.join(kept, docs[key] == kept["kept_key"], "left_semi")
+    kept = groups.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept_key")).agg(F.count("*").alias("rows"))
+    kept = stored(kept, "representatives")
+    once = docs.join(kept.filter("rows = 1"), docs[key] == kept["kept_key"], "left_semi")
+    # only rows that repeat a key are moved to be compared
+    again = docs.join(kept.filter("rows > 1"), docs[key] == kept["kept_key"], "left_semi")
     hashed = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    found = found.groupBy(F.col(key).alias("kept_key")).agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
+    least = again.groupBy(F.col(key).alias("kept_key")).agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
+    found = once.unionByName(least)
     return found.unionByName(docs.filter(F.col(key).isNull()))
 
 
