@@ -8,7 +8,9 @@ from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
 from tidemark.catalog.metrics import HITS, V3, hits
 from tidemark.catalog.signal import KEYS, PLACES, W18_FULL, candidates, feats_sql, model_rows
+from tidemark.functions.scores import distance_weight, hard_label, soft_target
 from tidemark.operators import models as md
+from tidemark.operators import ridge as rg
 from tidemark.operators.metrics import auc
 from tidemark.operators.signal import FEATURES
 from tidemark.session import cut, scratch_path
@@ -75,35 +77,11 @@ def _fitted(spark, base):
     return data, md.fit_classifiers(data, FEATS, small())
 
 
-ALL_ROWS = "SELECT work_id, track_id, cand_no, true AS valid FROM hd"
-
-
-def share_of(column):
-    """Whether a column is a finite number from 0 to 1."""
-    return F.coalesce(F.col(column).between(0.0, 1.0) & ~F.isnan(column), F.lit(False))
-
-
-def sound(table):
-    """Invariants of a table of qualities: counts of both classes as they are, areas and rates from 0 to 1."""
-    rates = [F.col(c).isNull() | share_of(c) for c in ("precision", "recall")]
-    return table.select("method", F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"), (share_of("auc") & rates[0] & rates[1]).alias("valid"))
-
-
-def sound_sql(*methods):
-    listed = ", ".join(f"('{m}')" for m in methods)
-    return sql(
-        V3,
-        f"""SELECT method, (SELECT count(*) FROM hd WHERE hit) AS positives, (SELECT count(*) FROM hd WHERE NOT hit) AS negatives, true AS valid
-          FROM (VALUES {listed}) m(method)""",
-        **HITS,
-    )
-
-
 def _m2(spark, base):
+    """Probability of every learner, and their mean, at every candidate."""
     data, models = _fitted(spark, base)
-    out = md.apply_models(data, models)
-    valid = share_of("p_rf") & share_of("p_gbt") & share_of("p_lr")
-    return out.select(*KEYS, "cand_no", valid.alias("valid"))
+    out = md.apply_models(data, models).withColumn("score", md.ensemble_score(["p_rf", "p_gbt", "p_lr"]))
+    return out.select(*KEYS, "cand_no", "p_rf", "p_gbt", "p_lr", "score")
 
 
 def _m3(spark, base):
@@ -111,9 +89,7 @@ def _m3(spark, base):
     small_ = {"numTrees": 10, "minInstancesPerNode": 5, "maxDepth": 4}
     models = md.fit_refiners(data, FEATS, 5.0, small_, {"maxIter": 5, "maxDepth": 3})
     scored = md.apply_models(data, models, "r_").withColumn("refine", md.ensemble_score([f"r_{n}" for n in models]))
-    # the target lies from 0 to 1, and trees give means of targets
-    valid = share_of("r_rf") & F.col("refine").isNotNull() & ~F.isnan("refine")
-    return scored.select(*KEYS, "cand_no", valid.alias("valid"))
+    return scored.select(*KEYS, "cand_no", "r_rf", "r_gbt", "r_ridge", "refine")
 
 
 def _m4(spark, base):
@@ -168,7 +144,7 @@ M6 = sql(
 
 
 def _m6_learners(spark, base):
-    return _held_out(spark, base).select(*KEYS, "cand_no", share_of("score").alias("valid"))
+    return _held_out(spark, base).select(*KEYS, "cand_no", "score")
 
 
 def standardised(training):
@@ -202,11 +178,11 @@ M7 = sql(
 
 
 def _m8(spark, base):
-    return sound(md.ablate(rows(spark, base), "fold", FEATS, logistic, [["t"]]))
+    return md.ablate(rows(spark, base), "fold", FEATS, logistic, [["t"]])
 
 
 def _m9(spark, base):
-    return sound(md.compare_algorithms(rows(spark, base), "fold", FEATS, "score", small))
+    return md.compare_algorithms(rows(spark, base), "fold", FEATS, "score", small)
 
 
 def _m9_baseline(spark, base):
@@ -214,22 +190,18 @@ def _m9_baseline(spark, base):
 
 
 def _m10(spark, base):
-    return sound(md.train_modes(rows(spark, base), "fold", FEATS, logistic))
+    return md.train_modes(rows(spark, base), "fold", FEATS, logistic)
 
 
 def _m11(spark, base):
     data = rows(spark, base)
     grid = {"numTrees": [5], "maxDepth": [2, 4]}
-    out = md.tune(data, "fold", FEATS, grid, [0, 1, 2])
-    known = F.col("chosen").isin('{"maxDepth": 2, "numTrees": 5}', '{"maxDepth": 4, "numTrees": 5}')
-    return out.select("fold", (known & share_of("auc")).alias("valid"))
+    return md.tune(data, "fold", FEATS, grid, [0, 1, 2])
 
 
 def _m12(spark, base):
     data, models = _fitted(spark, base)
-    out = md.feature_importance(models["rf"], FEATS, spark)
-    whole = out.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")).withColumn("_k", F.lit(1))
-    return out.withColumn("_k", F.lit(1)).join(whole, "_k").select("feature", (share_of("importance") & F.col("sums_to_one")).alias("valid"))
+    return md.feature_importance(models["rf"], FEATS, spark)
 
 
 def _m13(spark, base):
@@ -242,9 +214,7 @@ def _m13_stack(spark, base):
     weights = md.auc_weighted(data, ["score", "ref_score"])
     stacked = md.apply_models(data, {"s": md.stack_scores(data, ["score", "ref_score"])})
     blend = md.ensemble_score(["score", "ref_score"], [w + 1e-6 for w in weights])
-    low, high = F.least("score", "ref_score"), F.greatest("score", "ref_score")
-    valid = share_of("p_s") & (blend >= low - 1e-9) & (blend <= high + 1e-9) & F.lit(all(0 <= w <= 0.5 for w in weights))
-    return stacked.select(*KEYS, "cand_no", valid.alias("valid"))
+    return stacked.select(*KEYS, "cand_no", F.col("p_s").alias("stacked"), blend.alias("blended"))
 
 
 def _m13_grid(spark, base):
@@ -275,35 +245,131 @@ def _m14(spark, base):
     md.save_model(model, path, FEATS, info, spark)
     again, meta = md.load_model(path, FEATS, spark)
     both = md.apply_models(md.apply_models(data, {"lr": model}), {"lr": again}, "q_")
-    same = (F.col("p_lr") == F.col("q_lr")) & F.lit(meta["rows"] == counts["rows"] and meta["held_out"] == held and "settings" in meta)
-    return both.select(*KEYS, "cand_no", same.alias("valid"))
+    told = [F.lit(float(v or 0.0)).alias(n) for n, v in (("rows", meta["rows"]), ("positives", meta["positives"]), ("held_out_auc", meta["held_out"]["auc"]))]
+    return both.select(*KEYS, "cand_no", F.col("p_lr").alias("saved"), F.col("q_lr").alias("loaded"), *told)
 
 
 def _m15(spark, base):
     data = rows(spark, base)
     model = md.fit_classifiers(data, FEATS, logistic())["lr"]
     record = md.quality(_held_out(spark, base)).first().asDict()
-    out = md.in_sample_audit(data, model, record)
-    kept = F.lit(True)
-    for name in ("auc", "precision", "recall"):
-        kept = kept & (F.col(f"recorded_{name}") == F.lit(float(record[name] or 0.0)))
-    return out.select((share_of("auc") & kept).alias("valid"))
+    return md.in_sample_audit(data, model, record)
+
+
+# Closed-form learners: real values that SQL can repeat.
+
+RIDGE = 0.1
+
+
+def _m3_ridge(spark, base):
+    """Refine score of every candidate: ridge regression on the soft distance target."""
+    out = rg.fit_ridge(rows(spark, base), FEATS, soft_target(F.col("dist"), 5.0), RIDGE, out="refine")
+    return show(out, *KEYS, "cand_no", "refine")
+
+
+def _m6_ridge(spark, base):
+    return show(rg.held_out_ridge(rows(spark, base), "work_id", FEATS, penalty=RIDGE), *KEYS, "cand_no", "score")
+
+
+DROP = [["t"], ["score"], ["score", "t"]]
+
+
+def _m8_ridge(spark, base):
+    out = rg.ablate_ridge(rows(spark, base), "work_id", FEATS, DROP, RIDGE)
+    return show(out, "features_used", "positives", "negatives", "auc", "precision", "recall")
+
+
+def _m10_ridge(spark, base):
+    """Plain training, weights that fade with the distance, and strict labels; always judged by the plain label."""
+    data = rows(spark, base)
+    soft = distance_weight(F.col("dist"), F.col("label") > 0, 5.0)
+    modes = {"plain": (None, None), "weighted": (None, soft), "strict": (hard_label(F.col("dist"), 5.0), None)}
+    parts = [rg.held_out_ridge(data, "work_id", FEATS, target, RIDGE, weight).withColumn("method", F.lit(name)) for name, (target, weight) in modes.items()]
+    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return show(rg.quality_by(scored, ["method"], 0.05), "method", "positives", "negatives", "auc", "precision", "recall")
+
+
+def _ridge_sql(name, models):
+    """A ridge model for each row of ``models`` (g, excluded work or null, k1 to k3 features in use), solved by Cramer's rule: a(g, y, w)
+    holds the training rows, ``name``_m the coefficients."""
+    x = ("score", "ref_score", "t")
+    sums = ", ".join(f"sum(w * {c}) / sum(w) AS m{i}, sqrt(sum(w * {c} * {c}) / sum(w) - (sum(w * {c}) / sum(w)) ** 2) AS s{i}, sum(w * {c} * y) / sum(w) AS q{i}" for i, c in enumerate(x, 1))
+    cross = ", ".join(f"sum(w * {x[i - 1]} * {x[j - 1]}) / sum(w) AS p{i}{j}" for i, j in ((1, 2), (1, 3), (2, 3)))
+    return {
+        f"{name}_g": models,
+        f"{name}_s": f"SELECT g, any_value(k1) AS k1, any_value(k2) AS k2, any_value(k3) AS k3, sum(w * y) / sum(w) AS my, {sums}, {cross} FROM {name}_g GROUP BY g",
+        f"{name}_r": f"""SELECT *, {1 + RIDGE} AS a, k1 * k2 * (p12 - m1 * m2) / (s1 * s2) AS r12, k1 * k3 * (p13 - m1 * m3) / (s1 * s3) AS r13,
+          k2 * k3 * (p23 - m2 * m3) / (s2 * s3) AS r23, k1 * (q1 - m1 * my) / s1 AS c1, k2 * (q2 - m2 * my) / s2 AS c2, k3 * (q3 - m3 * my) / s3 AS c3 FROM {name}_s""",
+        f"{name}_d": f"SELECT *, a * (a * a - r23 * r23) - r12 * (r12 * a - r23 * r13) + r13 * (r12 * r23 - a * r13) AS det FROM {name}_r",
+        f"{name}_m": f"""SELECT g, my, m1, m2, m3, (c1 * (a * a - r23 * r23) - r12 * (c2 * a - r23 * c3) + r13 * (c2 * r23 - a * c3)) / det / s1 AS b1,
+          (a * (c2 * a - r23 * c3) - c1 * (r12 * a - r23 * r13) + r13 * (r12 * c3 - c2 * r13)) / det / s2 AS b2,
+          (a * (a * c3 - c2 * r23) - r12 * (r12 * c3 - c2 * r13) + c1 * (r12 * r23 - a * r13)) / det / s3 AS b3 FROM {name}_d""",
+    }
+
+
+_VALUE = "my + b1 * (h.score - m1) + b2 * (h.ref_score - m2) + b3 * (h.t - m3)"
+_OTHERS = "FROM (SELECT DISTINCT work_id FROM hd WHERE hit) o JOIN hd ON hd.work_id <> o.work_id"
+M3_RIDGE = sql(
+    V3,
+    f"SELECT work_id, track_id, cand_no, round({_VALUE}, 6) + 0.0 AS refine FROM hd h, r_m",
+    **HITS,
+    **_ridge_sql("r", "SELECT 1 AS g, 1 AS k1, 1 AS k2, 1 AS k3, hd.*, 1e0 AS w, coalesce(exp(-((dist / 5) ** 2)), 0) AS y FROM hd"),
+)
+M6_RIDGE = sql(
+    V3,
+    f"SELECT work_id, track_id, cand_no, round({_VALUE}, 6) + 0.0 AS score FROM hd h JOIN r_m ON g = work_id",
+    **HITS,
+    **_ridge_sql("r", f"SELECT o.work_id AS g, 1 AS k1, 1 AS k2, 1 AS k3, hd.*, 1e0 AS w, hit::INT::DOUBLE AS y {_OTHERS}"),
+)
+
+
+def _by_method(column, limit):
+    """Qualities of rows ``sc(method, hit, v)``."""
+    return f"""SELECT method AS {column}, count(*) FILTER (hit) AS positives, count(*) FILTER (NOT hit) AS negatives, round(any_value(area), 6) AS auc,
+      round(avg(hit::INT) FILTER (v >= {limit}), 6) AS precision, round(avg((v >= {limit})::INT) FILTER (hit), 6) AS recall
+      FROM sc JOIN (SELECT method, avg(CASE WHEN a.v > b.v THEN 1e0 WHEN a.v = b.v THEN 5e-1 ELSE 0e0 END) AS area FROM sc a JOIN sc b USING (method)
+        WHERE a.hit AND NOT b.hit GROUP BY 1) USING (method) GROUP BY 1"""
+
+
+M8_RIDGE = sql(
+    V3,
+    _by_method("features_used", "5e-1"),
+    **HITS,
+    ks="SELECT * FROM (VALUES ('all', 1, 1, 1), ('without t', 1, 1, 0), ('without score', 0, 1, 1), ('without score,t', 0, 1, 0)) k(method, k1, k2, k3)",
+    **_ridge_sql("r", f"SELECT (method, o.work_id) AS g, k1, k2, k3, hd.*, 1e0 AS w, hit::INT::DOUBLE AS y {_OTHERS}, ks"),
+    sc=f"SELECT method, hit, {_VALUE} AS v FROM hd h, ks JOIN r_m ON g = (method, h.work_id)",
+)
+M10_RIDGE = sql(
+    V3,
+    _by_method("method", "5e-2"),
+    **HITS,
+    ks="SELECT * FROM (VALUES ('plain'), ('weighted'), ('strict')) k(method)",
+    **_ridge_sql(
+        "r",
+        f"""SELECT (method, o.work_id) AS g, 1 AS k1, 1 AS k2, 1 AS k3, hd.*, CASE WHEN method = 'weighted' AND hit THEN exp(-((dist / 5) ** 2)) ELSE 1e0 END AS w,
+          CASE WHEN method = 'strict' THEN coalesce(dist <= 5, false) ELSE hit END::INT::DOUBLE AS y {_OTHERS}, ks""",
+    ),
+    sc=f"SELECT method, hit, {_VALUE} AS v FROM hd h, ks JOIN r_m ON g = (method, h.work_id)",
+)
 
 
 CASES = {
     "m1_build_training_set": Case(_m1, _m1_sql()),
     "m1_build_training_set_full": Case(_m1_full, M1_FULL),
-    "m2_fit_classifiers": Case(_m2, sql(V3, ALL_ROWS, **HITS)),
-    "m3_fit_refiners": Case(_m3, sql(V3, ALL_ROWS, **HITS)),
+    "m2_fit_classifiers": Case(_m2),
+    "m3_fit_refiners": Case(_m3),
+    "m3_refine_ridge": Case(_m3_ridge, M3_RIDGE),
     "m4_ensemble_score": Case(
         _m4, sql("v_cand", "SELECT work_id, track_id, cand_no, round((score + 3 * ref_score) / 4, 6) AS mixed FROM v_cand")
     ),
     "m5_calibrate": Case(_m5, M5),
     "m6_leave_one_group_out": Case(_m6, M6),
-    "m6_leave_one_group_out_learners": Case(_m6_learners, sql(V3, ALL_ROWS + " WHERE work_id IN (SELECT work_id FROM hd WHERE hit)", **HITS)),
+    "m6_leave_one_group_out_learners": Case(_m6_learners),
+    "m6_leave_one_group_out_ridge": Case(_m6_ridge, M6_RIDGE),
     "m7_in_sample_vs_logo": Case(_m7, M7),
-    "m8_ablate": Case(_m8, sound_sql("all", "without t")),
-    "m9_compare_algorithms": Case(_m9, sound_sql("only score", "rf", "gbt", "lr", "svm")),
+    "m8_ablate": Case(_m8),
+    "m8_ablate_ridge": Case(_m8_ridge, M8_RIDGE),
+    "m9_compare_algorithms": Case(_m9),
     "m9_single_feature_baseline": Case(
         _m9_baseline,
         sql(
@@ -312,9 +378,10 @@ CASES = {
             **HITS,
         ),
     ),
-    "m10_train_modes": Case(_m10, sound_sql("plain", "weighted", "strict")),
-    "m11_tune": Case(_m11, "SELECT f::VARCHAR AS fold, true AS valid FROM range(3) r(f)"),
-    "m12_feature_importance": Case(_m12, "SELECT unnest(['score', 'ref_score', 't']) AS feature, true AS valid"),
+    "m10_train_modes": Case(_m10),
+    "m10_train_modes_ridge": Case(_m10_ridge, M10_RIDGE),
+    "m11_tune": Case(_m11),
+    "m12_feature_importance": Case(_m12),
     "m13_rank_average": Case(
         _m13,
         sql(
@@ -324,8 +391,8 @@ CASES = {
             FROM v_cand""",
         ),
     ),
-    "m13_ensembling_variants": Case(_m13_stack, sql(V3, ALL_ROWS, **HITS)),
+    "m13_ensembling_variants": Case(_m13_stack),
     "m13_grid_weights": Case(_m13_grid, M13_GRID),
-    "m14_save_and_load": Case(_m14, sql(V3, ALL_ROWS, **HITS)),
-    "m15_in_sample_audit": Case(_m15, "SELECT true AS valid"),
+    "m14_save_and_load": Case(_m14),
+    "m15_in_sample_audit": Case(_m15),
 }
