@@ -14,6 +14,32 @@ from tidemark.plans.nearest import nearest, window_best
 from tidemark.session import block_rows, cut
 
 
+def sorted_groups(batches, part: Sequence[str], columns: Sequence[str]):
+    """Yield (key, {column: array}) for each run of rows that agree in ``part``, from sorted Arrow batches."""
+    import numpy as np
+
+    key, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(k).to_pylist() for k in part]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for values in ids:
+            new[1:] |= [a != b for a, b in zip(values, values[1:])]
+        bounds = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        arrays = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        for low, high in zip(bounds, bounds[1:]):
+            here = tuple(values[low] for values in ids)
+            if here != key:
+                if key is not None:
+                    yield key, {c: np.concatenate(v) for c, v in held.items()}
+                key, held = here, {c: [] for c in columns}
+            for c in columns:
+                held[c].append(arrays[c][low:high])
+    if key is not None:
+        yield key, {c: np.concatenate(v) for c, v in held.items()}
+
+
 def _next_starts(sizes, linked, max_rows: int | None, max_total: int):
     """For each row the row at which the next group begins, if a group begins at it."""
     import numpy as np
@@ -121,35 +147,10 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], max_rows: int | None, m
     key_fields = [rows.schema[k] for k in keys]
     part_types = [to_arrow_type(slim.schema[c].dataType) for c in part]
 
-    def groups(batches, columns):
-        """Yield (key, {column: array}) per block from sorted batches."""
-        import numpy as np
-
-        key, held = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [batch.column(k).to_pylist() for k in part]
-            new = np.zeros(batch.num_rows, dtype=bool)
-            for values in ids:
-                new[1:] |= [a != b for a, b in zip(values, values[1:])]
-            bounds = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            arrays = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
-            for low, high in zip(bounds, bounds[1:]):
-                here = tuple(values[low] for values in ids)
-                if here != key:
-                    if key is not None:
-                        yield key, {c: np.concatenate(v) for c, v in held.items()}
-                    key, held = here, {c: [] for c in columns}
-                for c in columns:
-                    held[c].append(arrays[c][low:high])
-        if key is not None:
-            yield key, {c: np.concatenate(v) for c, v in held.items()}
-
     def exits(batches):
         import pyarrow as pa
 
-        for key, held in groups(batches, ["_size", "_linked", "_halo"]):
+        for key, held in sorted_groups(batches, part, ["_size", "_linked", "_halo"]):
             own = int((~held["_halo"]).sum())
             nxt = _next_starts(held["_size"], held["_linked"], max_rows, max_total).tolist()
             out = [0] * own
@@ -194,7 +195,7 @@ def _greedy_blocks(rows: DataFrame, keys: Sequence[str], max_rows: int | None, m
     def mark(batches):
         import pyarrow as pa
 
-        for key, held in groups(batches, ["_p", "_size", "_linked", "_entry"]):
+        for key, held in sorted_groups(batches, part, ["_p", "_size", "_linked", "_entry"]):
             n = len(held["_p"])
             nxt = _next_starts(held["_size"], held["_linked"], max_rows, max_total)
             starts, i = [], int(held["_entry"][0])
