@@ -45,6 +45,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of few numbers that a join may send to all tasks; about 64 MB.
+SENT_ROWS = 2_000_000
+
+
+def sent_if_small(table: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
+    """A stored table of few numbers a row, marked for broadcasting if its counted rows are at most ``limit``; else as it is."""
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def packed_text(text: Column) -> Column:
     """A text column compressed row by row, for joins that move whole texts."""
 

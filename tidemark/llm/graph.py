@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     x, y = F.col(a), F.col(b)
     edges = links.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges = stored(edges, "links")
-    known = _digest(edges)
+    known = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, packed_words, row_slices, stored, text_buffer, word_spans
+from tidemark.llm.common import map_arrow, packed_words, row_slices, sent_if_small, stored, text_buffer, word_spans
 from tidemark.llm.graph import Forest, components
 
 #: Fingerprints that one block compares at most with each other.
@@ -236,9 +236,10 @@ def representatives(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     repeat that key the one of least hash stays, in every run."""
     kept = groups.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept_key")).agg(F.count("*").alias("rows"))
     kept = stored(kept, "representatives")
-    once = docs.join(kept.filter("rows = 1"), docs[key] == kept["kept_key"], "left_semi")
+    single, several = (sent_if_small(kept.filter(c)) for c in ("rows = 1", "rows > 1"))
+    once = docs.join(single, docs[key] == single["kept_key"], "left_semi")
     # only rows that repeat a key are moved to be compared
-    again = docs.join(kept.filter("rows > 1"), docs[key] == kept["kept_key"], "left_semi")
+    again = docs.join(several, docs[key] == several["kept_key"], "left_semi")
     hashed = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
     least = again.groupBy(F.col(key).alias("kept_key")).agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
     found = once.unionByName(least)
