@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Case
 
-_PARTS = ["signal", "text", "shaping", "spans", "joins", "events", "metrics", "labels", "sources", "models", "streams"]
+_PARTS = ["signal", "text", "shaping", "spans", "joins", "events", "metrics", "labels", "sources", "models", "streams", "sweeps"]
 
 # columns the SQL twin computes as 32-bit numbers; both sides give 64-bit ones
 _NARROW = {
