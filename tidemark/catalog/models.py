@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
+from tidemark.catalog.events import DETECT, fold_sql
 from tidemark.catalog.metrics import HITS, V3, hits
 from tidemark.catalog.signal import KEYS, PLACES, W18_FULL, candidates, feats_sql, model_rows
 from tidemark.functions.scores import distance_weight, hard_label, soft_target
@@ -13,6 +14,7 @@ from tidemark.operators import models as md
 from tidemark.operators import ridge as rg
 from tidemark.operators.metrics import auc
 from tidemark.operators.signal import FEATURES
+from tidemark.plans.pipelines import detect_with_model
 from tidemark.session import cut, scratch_path
 
 FEATS = ["score", "ref_score", "t"]
@@ -289,10 +291,9 @@ def _m10_ridge(spark, base):
     return show(rg.quality_by(scored, ["method"], 0.05), "method", "positives", "negatives", "auc", "precision", "recall")
 
 
-def _ridge_sql(name, models):
+def _ridge_sql(name, models, x=("score", "ref_score", "t")):
     """A ridge model for each row of ``models`` (g, excluded work or null, k1 to k3 features in use), solved by Cramer's rule: a(g, y, w)
     holds the training rows, ``name``_m the coefficients."""
-    x = ("score", "ref_score", "t")
     sums = ", ".join(f"sum(w * {c}) / sum(w) AS m{i}, sqrt(sum(w * {c} * {c}) / sum(w) - (sum(w * {c}) / sum(w)) ** 2) AS s{i}, sum(w * {c} * y) / sum(w) AS q{i}" for i, c in enumerate(x, 1))
     cross = ", ".join(f"sum(w * {x[i - 1]} * {x[j - 1]}) / sum(w) AS p{i}{j}" for i, j in ((1, 2), (1, 3), (2, 3)))
     return {
@@ -353,7 +354,66 @@ M10_RIDGE = sql(
 )
 
 
+# The detector by models: ridge for the score and for the place, on the frame view.
+
+SHAPES = ["peak", "pre30", "recover"]
+LONG = 600
+
+
+def _detected(spark, base):
+    found = candidates(spark, base).withColumn("cand_no", F.col("idx"))
+    trained = cut(md.training_set(found, fx.truth(spark, base), fx.labelled(spark, base), KEYS, SHAPES, 1.0))
+    predict = rg.ridge_scorer(trained, SHAPES, F.col("label"), RIDGE)
+    refine = rg.ridge_scorer(trained, SHAPES, soft_target(F.col("dist"), 5.0), RIDGE, out="ref_score")
+    tracks = fx.frames(spark, base).groupBy(*KEYS).agg(F.count("*").alias("n_frames"))
+    return detect_with_model(found, tracks, KEYS, 1.0, predict, refine=refine, least=0.05, shortest=LONG)
+
+
+def _e13_model(spark, base):
+    _, out, _ = _detected(spark, base)
+    return show(out, *KEYS, "rank", "cand_no", "t", "score", "probability", "confidence", "merged", "snapped_from")
+
+
+def _e13_verdicts(spark, base):
+    _, _, out = _detected(spark, base)
+    return show(out, *KEYS, "status", "has_event", "max_score", "merged_total")
+
+
+_SHAPED = "my + b1 * (lf.peak - m1) + b2 * (lf.pre30 - m2) + b3 * (lf.recover - m3)"
+DETECT_MODEL = {
+    **{k: DETECT[k] for k in ("sm", "lv", "mx", "ranked", "walk", "pk", "around", "lf")},
+    "tr": """SELECT lf.*, (SELECT min(abs(g.t - lf.idx)) FROM v_truth g WHERE g.track_id = lf.track_id) AS d FROM lf
+      WHERE n_frames >= 60 AND track_id IN (SELECT track_id FROM v_labelled)""",
+    **_ridge_sql("r", "SELECT 1 AS g, 1 AS k1, 1 AS k2, 1 AS k3, tr.*, 1e0 AS w, coalesce(d <= 20, false)::INT::DOUBLE AS y FROM tr", SHAPES),
+    **_ridge_sql("q", "SELECT 1 AS g, 1 AS k1, 1 AS k2, 1 AS k3, tr.*, 1e0 AS w, coalesce(exp(-((d / 5) ** 2)), 0) AS y FROM tr", SHAPES),
+    "sc": f"SELECT work_id, track_id, idx, {_SHAPED} AS score FROM lf, r_m WHERE n_frames >= {LONG}",
+    "rf": f"SELECT track_id, idx, {_SHAPED} AS ref_score FROM lf, q_m",
+    "dk": """SELECT work_id, track_id, idx AS cand_no, idx * 1e0 AS t, score, ref_score, least(greatest(score, 0), 95e-2) AS probability
+      FROM sc JOIN rf USING (track_id, idx) WHERE least(greatest(score, 0), 95e-2) >= 5e-2""",
+    **fold_sql("x", "dk", "rn <= 4"),
+    "sn": """SELECT e.*, k.probability, coalesce(p.t2, e.t) AS moved FROM xx e JOIN dk k USING (track_id, cand_no) LEFT JOIN (
+      SELECT e.track_id, e.rank, arg_min(c.t, (-c.ref_score, c.cand_no)) AS t2
+      FROM xx e JOIN dk c USING (track_id) WHERE abs(c.t - e.t) <= 12 GROUP BY 1, 2) p USING (track_id, rank)""",
+}
+E13_MODEL = sql(
+    "v_frames v_truth v_labelled",
+    """SELECT work_id, track_id, rank, cand_no, round(moved, 6) AS t, round(score, 6) + 0.0 AS score, round(probability, 6) + 0.0 AS probability,
+      CASE WHEN probability >= 6e-1 THEN 'high' WHEN probability >= 3e-1 THEN 'mid' ELSE 'low' END AS confidence, merged::BIGINT AS merged,
+      CASE WHEN abs(moved - t) > 1e-6 THEN round(t, 6) END AS snapped_from FROM sn""",
+    **DETECT_MODEL,
+)
+E13_VERDICTS = sql(
+    "v_frames v_truth v_labelled",
+    f"""SELECT f.work_id, f.track_id, CASE WHEN n >= {LONG} THEN 'ok' ELSE 'short' END AS status, coalesce(p >= 3e-1, false) AS has_event,
+      round(p, 6) + 0.0 AS max_score, coalesce(m, 0)::BIGINT AS merged_total FROM (SELECT work_id, track_id, count(*) AS n FROM v_frames GROUP BY 1, 2) f
+      LEFT JOIN (SELECT track_id, max(probability) AS p, sum(merged) AS m FROM sn GROUP BY 1) USING (track_id)""",
+    **DETECT_MODEL,
+)
+
+
 CASES = {
+    "e13_detect_with_model": Case(_e13_model, E13_MODEL),
+    "e13_model_verdicts": Case(_e13_verdicts, E13_VERDICTS),
     "m1_build_training_set": Case(_m1, _m1_sql()),
     "m1_build_training_set_full": Case(_m1_full, M1_FULL),
     "m2_fit_classifiers": Case(_m2),

@@ -6,12 +6,13 @@ a feature the rows and columns that are left. So any number of groups and featur
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import auc
+from tidemark.session import cut
 
 #: Penalty of the standardised coefficients, per unit of weight.
 PENALTY = 0.1
@@ -89,12 +90,19 @@ def _scored(rows: DataFrame, features: Sequence[str], centre: dict[str, float],
     return rows.withColumn(out, value).drop("_beta")
 
 
-def fit_ridge(rows: DataFrame, features: Sequence[str], target: Column, penalty: float = PENALTY, weight: Column | None = None, out: str = "score") -> DataFrame:
-    """All rows with the value of a model of all of them."""
+def ridge_scorer(
+    rows: DataFrame, features: Sequence[str], target: Column, penalty: float = PENALTY, weight: Column | None = None, out: str = "score"
+) -> Callable[[DataFrame], DataFrame]:
+    """A model of all rows, as a function that adds its value to any rows with these features."""
     table, centre = moments(rows.withColumn("_all", F.lit(1)), "_all", features, target, weight)
     solve = _solver(len(features), [list(range(len(features)))], penalty)
-    model = table.select(F.element_at(solve("moments"), 1).alias("_beta"))
-    return _scored(rows.join(model, F.lit(True), "left"), features, centre, out)
+    model = cut(table.select(F.element_at(solve("moments"), 1).alias("_beta")))
+    return lambda others: _scored(others.join(model, F.lit(True), "left"), features, centre, out)
+
+
+def fit_ridge(rows: DataFrame, features: Sequence[str], target: Column, penalty: float = PENALTY, weight: Column | None = None, out: str = "score") -> DataFrame:
+    """All rows with the value of a model of all of them."""
+    return ridge_scorer(rows, features, target, penalty, weight, out)(rows)
 
 
 def held_out_ridge(

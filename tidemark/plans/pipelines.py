@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scores import formula_score
+from tidemark.functions.scores import BANDS_PROBABILITY, band, formula_score
 from tidemark.operators import events as ev
 from tidemark.operators import signal as sg
 from tidemark.operators.joins import best_cue
+from tidemark.operators.models import PROBABILITY_CAP, SHORTEST
 from tidemark.session import cut
 
 
@@ -45,3 +46,43 @@ def detect_events(
     kept = cut(rows if least is None else ev.threshold_filter(rows, "score", least))
     picked = ev.merge_candidates(kept, keys, "cand_no", top, gap)
     return kept, ev.snap(picked, kept, keys, snap_by, F.col("rank_energy"), window)
+
+
+def plain_probability(rows: DataFrame) -> DataFrame:
+    """The score itself, from 0 to the highest probability that is shown."""
+    return rows.withColumn("probability", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(PROBABILITY_CAP)))
+
+
+def detect_with_model(
+    candidates: DataFrame,
+    tracks: DataFrame,
+    keys: Sequence[str],
+    hop: float,
+    predict: Callable[[DataFrame], DataFrame],
+    probability: Callable[[DataFrame], DataFrame] = plain_probability,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    least: float | None = None,
+    top: int = 3,
+    gap: float = ev.MERGE_GAP,
+    window: float = ev.SNAP_WINDOW,
+    shortest: float = SHORTEST,
+    verdict_from: float = ev.TRACK_MIN_PROBABILITY,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates with features to (scored candidates, events, verdicts) by trained models.
+
+    ``predict`` adds ``score``, which orders candidates; ``probability`` adds a calibrated ``probability``, non-decreasing in the score, for
+    thresholds and display; ``refine`` adds ``ref_score``, by which events are moved, else the louder candidate wins. Tracks
+    (``keys, n_frames``) shorter than ``shortest`` seconds are skipped, for their features are unstable: their verdict
+    is no event, with ``status`` ``short``. An event has the highest probability among its members, which is that of its best.
+    """
+    long_enough = F.col("n_frames") * F.lit(float(hop)) >= F.lit(float(shortest))
+    rows = probability(predict(candidates.filter(long_enough)))
+    rows = rows.withColumn("confidence", band(F.col("probability"), BANDS_PROBABILITY))
+    rows = rows if refine is None else refine(rows)
+    kept = cut(rows if least is None else ev.threshold_filter(rows, "probability", least))
+    picked = ev.merge_candidates(kept, keys, "cand_no", top, gap)
+    shown = picked.join(kept.select(*keys, "cand_no", "probability", "confidence"), [*keys, "cand_no"])
+    events = cut(ev.snap(shown, kept, keys, "peak" if refine is None else "ref_score", F.col("cand_no"), window))
+    found = ev.track_verdict(events, tracks, keys, "probability", verdict_from)
+    status = F.when(long_enough, "ok").otherwise("short")
+    return kept, events, found.join(tracks.select(*keys, status.alias("status")), list(keys))
