@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.catalog.base import Case, show, sql
+from tidemark.catalog.text import CUE_SQL, CUES
 from tidemark.catalog.signal import AROUND, EDGE_SQL, KEYS, LEVEL_SQL, LEVELS, MAXIMA, PEAKS, RANKED, SMOOTH, WALK
 from tidemark.operators import events as ev
 from tidemark.operators.joins import top_per_key
@@ -189,6 +190,12 @@ def _e13(spark, base):
     return show(out, *KEYS, "rank", "cand_no", "t", "score", "merged", "snapped_from")
 
 
+def _e13_cues(spark, base):
+    """The same with the transcript: the strongest cue said near a candidate is part of its score."""
+    _, out = detect_events(fx.frames(spark, base), KEYS, 1.0, least=-1.0, segments=fx.conversation_segments(spark, base), cues=CUES)
+    return show(out, *KEYS, "rank", "cand_no", "t", "score", "merged", "snapped_from")
+
+
 DETECT = {
     "sm": SMOOTH, "lv": LEVELS, "mx": MAXIMA, "ranked": RANKED, "walk": WALK, "pk": PEAKS, "around": AROUND, "lf": LEVEL_SQL,
     "dc": """SELECT work_id, track_id, idx AS cand_no, idx * 1e0 AS t, peak,
@@ -200,6 +207,17 @@ DETECT = {
 }
 
 
+DETECT_CUES = {
+    **{k: v for k, v in DETECT.items() if k in ("sm", "lv", "mx", "ranked", "walk", "pk", "around", "lf")},
+    "cw": f"""SELECT track_id, "start", {CUE_SQL.format(t='text')} AS w FROM v_conv""",
+    "cu": """SELECT lf.track_id, lf.idx, max(w) AS cue FROM lf JOIN cw USING (track_id) WHERE w > 0 AND abs("start" - lf.idx) <= 6 GROUP BY 1, 2""",
+    "dc": DETECT["dc"].replace("(0 - 0.28)", "(coalesce(cue, 0) - 0.28)").replace("FROM lf", "FROM lf LEFT JOIN cu USING (track_id, idx)"),
+    **{k: v for k, v in DETECT.items() if k not in ("sm", "lv", "mx", "ranked", "walk", "pk", "around", "lf", "dc")},
+}
+DETECTED = """SELECT work_id, track_id, rank, cand_no, round(moved, 6) AS t, round(score, 6) + 0.0 AS score, merged{wide} AS merged,
+    CASE WHEN abs(moved - t) > 1e-6 THEN round(t, 6) END AS snapped_from FROM sn"""
+
+
 def pairs(spark, base):
     return ev.closest_pairs(cand(spark, base), fx.truth(spark, base), KEYS, "cand_no")
 
@@ -302,6 +320,7 @@ CASES = {
             **DETECT,
         ),
     ),
+    "e13_detect_events_cues": Case(_e13_cues, sql("v_frames v_conv", DETECTED.format(wide="::BIGINT"), **DETECT_CUES)),
     "e14_closest_pairs": Case(
         _e14,
         sql(

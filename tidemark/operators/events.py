@@ -75,16 +75,47 @@ def _merge_step(gap: float, top: int | None, nearest_rep: bool, mode: str, stops
     return step
 
 
-def _fold_events(
-    candidates: DataFrame, keys: Sequence[str], ident: str, top: int, step, stops: bool
-) -> DataFrame:
-    rows = candidates.select(
-        *keys, (-F.col("score")).alias("_neg"), F.col("t").cast("double").alias("t"), F.col(ident).cast("long").alias("id")
+def _merge_walk(gap: float, top: int | None, nearest_rep: bool, mode: str, stops: bool):
+    """``_merge_step`` for one key whose rows stream past: makes a function of (negative score, t, id)."""
+
+    def start():
+        reps: list[dict] = []
+
+        def take(values):
+            neg, t, ident = values
+            away = [abs(t - r["time"]) for r in reps]
+            if nearest_rep:
+                at = away.index(min(away)) if away and min(away) <= gap else None
+            else:
+                at = next((i for i, d in enumerate(away) if d <= gap), None)
+            full = False
+            if at is not None:
+                r = reps[at]
+                total, n = r["sum"] + t, r["n"] + 1
+                if mode == "weighted":
+                    w = max(-neg, 1e-6)
+                    r["time"] = (t * w + (total - t)) / (w + (n - 1))
+                elif mode != "best":
+                    r["time"] = total / n
+                r["sum"], r["n"] = total, n
+            elif top is None or len(reps) < top:
+                reps.append({"time": t, "score": -neg, "sum": t, "n": 1, "best": ident, "weight": 1.0})
+            else:
+                full = stops
+            return {"reps": reps, "closed": full}, not full
+
+        return take
+
+    return start
+
+
+def _fold_events(candidates: DataFrame, keys: Sequence[str], ident: str, top: int, rule: tuple) -> DataFrame:
+    """Events by one of the merging rules; candidates without a time or score can't be placed and are left out."""
+    rows = candidates.filter(F.col("t").isNotNull() & F.col("score").isNotNull()).select(
+        *keys, (-F.col("score").cast("double")).alias("_neg"), F.col("t").cast("double").alias("t"), F.col(ident).cast("long").alias("id")
     )
     init = F.struct(F.array().cast(f"array<{_REP}>").alias("reps"), F.lit(False).alias("closed"))
-    state = ranked_fold(
-        rows, keys, ["_neg", "t", "id"], [], init, step, (lambda s: s["closed"]) if stops else None
-    )
+    state = ranked_fold(rows, keys, ["_neg", "t", "id"], [], init, _merge_step(*rule), _merge_walk(*rule))
     ranked = F.array_sort(
         F.transform(
             F.col("state.reps"),
@@ -134,14 +165,14 @@ def merge_candidates(
 
 def merge_scan_down(candidates: DataFrame, keys: Sequence[str], ident: str, top: int = 3, gap: float = MERGE_GAP) -> DataFrame:
     """Like :func:`merge_candidates` over all candidates: new events stop at ``top``, means keep moving."""
-    return _fold_events(candidates, keys, ident, top, _merge_step(gap, top, False, "mean", False), False)
+    return _fold_events(candidates, keys, ident, top, (gap, top, False, "mean", False))
 
 
 def merge_nearest_rep(
     candidates: DataFrame, keys: Sequence[str], ident: str, top: int = 3, gap: float = MERGE_GAP, mode: str = "mean"
 ) -> DataFrame:
     """Join the nearest event (``mean``, ``best`` or ``weighted`` time); stop at the first that fits nowhere."""
-    return _fold_events(candidates, keys, ident, top, _merge_step(max(gap, 1e-9), top, True, mode, True), True)
+    return _fold_events(candidates, keys, ident, top, (max(gap, 1e-9), top, True, mode, True))
 
 
 def merge_chain(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tidemark.plans.blocks import BLOCK, fit, is_blocked, islands, number_rows, scan, shift, unblock
+from tidemark.plans.blocks import fit, is_blocked, islands, largest_key, number_rows, scan, shift, unblock
 from tidemark.plans.nearest import nearest, window_best
 from tidemark.session import block_rows, cut
 
@@ -224,39 +224,57 @@ def ranked_fold(
     item: Sequence[str],
     init: Column,
     step: Callable[[Column, Column], Column],
-    done: Callable[[Column], Column] | None = None,
+    walk: Callable[[], Callable],
 ) -> DataFrame:
     """Fold each key's rows in ``order`` into one small state: (keys, state).
 
-    ``order`` lists ascending columns and must be total.  A key that spans blocks is folded block by
-    block with the state carried in a table; ``done`` ends a key early.
+    ``order`` lists ascending columns and must be total.  Keys that fit a task are folded by ``step`` in one expression.
+    Where one doesn't, the rows of a key stream past in order, sorted outside of Python, and ``walk`` states the same
+    rule for them: it makes a function that takes the values of (order, item) and gives the state as plain values, or
+    None where rows that follow change nothing any more.  So a key of any length is one pass in bounded memory.
     """
     fields = list(dict.fromkeys([*order, *item]))
     packed = F.array_sort(F.collect_list(F.struct(*fields)))
-    rows = fit(df.select(*keys, *fields, *([BLOCK] if is_blocked(df) else [])), keys, order)
-    if not is_blocked(rows):
+    rows = df.select(*keys, *fields)
+    limit = block_rows(df.sparkSession)
+    if not is_blocked(df) and largest_key(rows, keys)[0] <= limit:
         grouped = rows.groupBy(*keys).agg(packed.alias("_rows"))
         return grouped.select(*keys, F.aggregate("_rows", init, step).alias("state"))
-    turns = rows.groupBy(*keys, BLOCK).count().select(
-        *keys, BLOCK, (F.row_number().over(Window.partitionBy(*keys).orderBy(BLOCK)) - 1).alias("_turn")
-    )
-    turns = cut(turns)
-    rounds = turns.agg(F.max("_turn")).first()[0]
-    rows = cut(rows.join(turns, [*keys, BLOCK]))
-    state = None
-    for turn in range(rounds + 1):
-        chunk = rows.filter(F.col("_turn") == turn).groupBy(*keys).agg(packed.alias("_rows"))
-        if state is None:
-            state = cut(chunk.select(*keys, F.aggregate("_rows", init, step).alias("state")))
-            continue
-        joined = state.join(chunk, list(keys), "left")
-        moved = F.when(F.col("_rows").isNull(), F.col("state")).otherwise(
-            F.aggregate("_rows", F.col("state"), step)
-        )
-        state = cut(joined.select(*keys, moved.alias("state")))
-        if done is not None and state.filter(~done(F.col("state"))).isEmpty():
-            break
-    return state
+    state_type = df.sparkSession.range(0).select(init.alias("s")).schema["s"].dataType
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("state", state_type)])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    n = len(keys)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        key, take, state, done = None, None, None, []
+
+        def flush():
+            out, done[:] = list(zip(*done)), []
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, types)], names=schema.names)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns):
+                if values[:n] != key:
+                    if key is not None:
+                        done.append((*key, state))
+                    key, take, state = values[:n], walk(), None
+                if take is not None:
+                    known, more = take(values[n:])
+                    state = known
+                    if not more:
+                        take = None
+            if len(done) > 1000:
+                yield flush()
+        if key is not None:
+            done.append((*key, state))
+        if done:
+            yield flush()
+
+    spread = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return spread.mapInArrow(fold, schema)
 
 
 def suppress(
@@ -298,18 +316,32 @@ def _suppress_rounds(df: DataFrame, keys: Sequence[str], at: str, score: str, ga
 
 
 def select_spaced(
-    df: DataFrame, keys: Sequence[str], at: str, score: str, gap: float, top: int, extra: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], at: str, score: str, gap: float | Column, top: int, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Best-first picks more than ``gap`` apart, at most ``top`` per key; ties by earlier ``at``."""
-    rows = df.withColumn("_neg", -F.col(score).cast("double")).withColumn("_at", F.col(at).cast("double"))
+    rows = df.withColumns({
+        "_neg": -F.col(score).cast("double"), "_at": F.col(at).cast("double"), "_gap": (gap if isinstance(gap, Column) else F.lit(gap)).cast("double"),
+    })
     item = ["_neg", "_at", *extra]
     empty = F.array().cast(f"array<{rows.select(F.struct(*item).alias('s')).schema['s'].dataType.simpleString()}>")
 
     def step(acc: Column, x: Column) -> Column:
-        skip = (F.size(acc) >= top) | F.exists(acc, lambda k: F.abs(k["_at"] - x["_at"]) <= gap)
+        skip = (F.size(acc) >= top) | F.exists(acc, lambda k: F.abs(k["_at"] - x["_at"]) <= x["_gap"])
         return F.when(skip, acc).otherwise(F.array_append(acc, F.struct(*[x[c].alias(c) for c in item])))
 
-    state = ranked_fold(rows, keys, ["_neg", "_at"], item, empty, step, lambda s: F.size(s) >= top)
+    def walk():
+        kept: list[dict] = []
+
+        def take(values):
+            row = dict(zip(["_neg", "_at", "_gap", *extra], values))
+            t, width = row["_at"], row.pop("_gap")
+            if t is None or not any(k["_at"] is not None and abs(k["_at"] - t) <= width for k in kept):
+                kept.append(row)
+            return kept, len(kept) < top
+
+        return take
+
+    state = ranked_fold(rows, keys, ["_neg", "_at"], ["_gap", *extra], empty, step, walk)
     picked = state.select(*keys, F.posexplode("state").alias("_rank", "_k"))
     return picked.select(
         *keys,
