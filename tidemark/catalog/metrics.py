@@ -68,16 +68,20 @@ def _a2(spark, base):
     return show(out, *out.columns)
 
 
-def _a2_by_track(spark, base):
-    """Only every second work's reference begins with the asked sign; the others get no report."""
+def _reports(spark, base, asked):
+    """Every second reference text begins with a sign; the tracks whose first one is as asked get a report."""
     ref = dated(spark, base)[0].withColumn("ref_text", F.when(F.col("ref_no") % 2 == 0, F.col("ref_text")).otherwise("1-none"))
     rows = matched(spark, base).filter("matched")
-    return mt.text_compare_report(rows, "own_text", "ref_text", ref, ["t", "ref_no"], "^1-none", ["track_id"]).select("track_id", "pairs")
+    return mt.text_compare_report(rows, "own_text", "ref_text", ref, ["t", "ref_no"], asked, ["track_id"]).select("track_id", "pairs")
+
+
+def _a2_by_track(spark, base):
+    return _reports(spark, base, "^1-none")
 
 
 def _a2_gated(spark, base):
-    """The reports of the six tracks that its twin has; ``_a2_by_track`` gives all."""
-    return _a2_by_track(spark, base).filter("track_id < 6")
+    """The tracks that the other query leaves out."""
+    return _reports(spark, base, "^(?!1-none)")
 
 
 A2 = sql(
@@ -87,18 +91,16 @@ A2 = sql(
       FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3)""",
     **DATED,
 )
-A2_GATED = sql(
-    "",
-    """SELECT track_id, count(*) AS pairs FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3 AND track_id < 6
-      AND (SELECT arg_min(f.ref_no, (f.t, f.ref_no)) % 2 FROM rf f WHERE f.track_id = rf.track_id) = 1 GROUP BY 1""",
-    **DATED,
-)
-A2_BY_TRACK = sql(
-    "",
-    """SELECT track_id, count(*) AS pairs FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3
-      AND (SELECT arg_min(f.ref_no, (f.t, f.ref_no)) % 2 FROM rf f WHERE f.track_id = rf.track_id) = 1 GROUP BY 1""",
-    **DATED,
-)
+def _reports_sql(rest):
+    return sql(
+        "",
+        f"""SELECT track_id, count(*) AS pairs FROM rf JOIN nr USING (ref_no) WHERE abs(shift) <= 3
+          AND (SELECT arg_min(f.ref_no, (f.t, f.ref_no)) % 2 FROM rf f WHERE f.track_id = rf.track_id) = {rest} GROUP BY 1""",
+        **DATED,
+    )
+
+
+A2_BY_TRACK, A2_GATED = _reports_sql(1), _reports_sql(0)
 
 
 def _a3(spark, base):

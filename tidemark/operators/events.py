@@ -22,6 +22,9 @@ TRACK_MIN_PROBABILITY = 0.30
 TRACK_MIN_SCORE = 2.3
 GRID = 0.5
 
+# points of one stretch of a density that make one array, and parts of a stretch with more
+_PACK_POINTS, _PACK_PARTS = 4096, 256
+
 _REP = "struct<time:double,score:double,sum:double,n:int,best:bigint,weight:double>"
 
 
@@ -216,36 +219,50 @@ def track_verdict(events: DataFrame, tracks: DataFrame, keys: Sequence[str], col
 def kde_select(
     candidates: DataFrame,
     keys: Sequence[str],
-    h: float = 10.0,
+    h: float | Column = 10.0,
     kernel: str = "gauss",
-    power: float = 1.0,
+    power: float | Column = 1.0,
     min_sep: float = 30.0,
     top: int = 3,
 ) -> DataFrame:
     """Peaks of a weighted kernel density on a half-second grid, at most ``top``, ``min_sep`` apart.
 
-    Each candidate only touches the grid points its kernel reaches (the Gaussian until it underflows),
-    and sums combine before the shuffle.  Grid points nobody reaches count with density 0.
+    Candidates at one time are one point. Points are packed by stretches of time as long as the kernel reaches (the Gaussian
+    until it underflows), and a pack gives one partial sum for each grid point it touches. So the rows that are moved are
+    points plus a few times the grid, not points times reach. Grid points nobody reaches count with density 0. Width and
+    power may be columns that are part of the keys.
     """
-    reach = h * 39 if kernel == "gauss" else h
-    weighted = candidates.select(*keys, "t", F.pow(F.greatest(F.col("score"), F.lit(0.0)), power).alias("_w"))
-    span = weighted.groupBy(*keys).agg(
-        (F.min("t") - 5 * h).alias("_lo"), (F.max("t") + 5 * h).alias("_hi"), F.sum("_w").alias("_sum")
-    ).withColumn("_cells", F.ceil((F.col("_hi") - F.col("_lo")) / GRID))
-    near = weighted.join(span, list(keys))
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - reach - F.col("_lo")) / GRID))
-    last = F.least(F.col("_cells") - 1, F.floor((F.col("t") + reach - F.col("_lo")) / GRID))
-    points = near.select(
-        *keys, "t", F.when(F.col("_sum") > 0, F.col("_w")).otherwise(1.0).alias("_w"), "_lo",
-        F.explode(F.sequence(first, last)).alias("cell"),
-    )
-    u = F.abs(F.col("_lo") + F.col("cell") * GRID - F.col("t")) / h
-    shape = {
-        "gauss": F.exp(-0.5 * u * u),
-        "tri": F.greatest(1 - u, F.lit(0.0)),
-        "cos": F.when(u < 1, 0.5 * (1 + F.cos(F.lit(3.141592653589793) * u))).otherwise(0.0),
-    }[kernel]
-    density = points.groupBy(*keys, "cell").agg(F.sum(shape * F.col("_w")).alias("density"))
+    width = h if isinstance(h, Column) else F.lit(float(h))
+    reach = width * 39 if kernel == "gauss" else width
+    weighted = candidates.select(*keys, F.col("t").cast("double").alias("t"), F.pow(F.greatest(F.col("score"), F.lit(0.0)), power).alias("_w"))
+    points = weighted.groupBy(*keys, "t").agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"))
+    span = points.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.sum("_w").alias("_sum"))
+    span = span.withColumn("_lo", F.col("_lo") - 5 * width).withColumn("_hi", F.col("_hi") + 5 * width)
+    span = span.withColumn("_cells", F.ceil((F.col("_hi") - F.col("_lo")) / GRID))
+    stretch = F.greatest(reach, F.lit(64 * GRID))
+    near = points.join(span, list(keys)).withColumn("_pack", F.floor((F.col("t") - F.col("_lo")) / stretch))
+    weight = F.when(F.col("_sum") > 0, F.col("_w")).otherwise(F.col("_n").cast("double"))
+    # very many points of one stretch are dealt to several packs, so that no array grows without bound
+    part = F.pmod(F.xxhash64("t"), F.lit(_PACK_PARTS))
+    few = near.groupBy(*keys, "_pack").agg(F.count("*").alias("_points"))
+    near = near.join(few, [*keys, "_pack"]).withColumn("_part", F.when(F.col("_points") > _PACK_POINTS, part).otherwise(0))
+    packs = near.groupBy(*keys, "_pack", "_part").agg(
+        F.collect_list(F.struct("t", weight.alias("w"))).alias("_held"), F.first("_lo").alias("_lo"), F.first("_cells").alias("_cells")
+    )
+    first = F.greatest(F.lit(0), F.ceil((F.col("_pack") * stretch - reach) / GRID))
+    last = F.least(F.col("_cells") - 1, F.floor(((F.col("_pack") + 1) * stretch + reach) / GRID))
+    touched = packs.filter(last >= first).select(*keys, "_held", "_lo", F.explode(F.sequence(first, last)).alias("cell"))
+
+    def shape(t: Column) -> Column:
+        u = F.abs(F.col("_lo") + F.col("cell") * GRID - t) / width
+        return {
+            "gauss": F.exp(-0.5 * u * u),
+            "tri": F.greatest(1 - u, F.lit(0.0)),
+            "cos": F.when(u < 1, 0.5 * (1 + F.cos(F.lit(3.141592653589793) * u))).otherwise(0.0),
+        }[kernel]
+
+    partial = F.aggregate("_held", F.lit(0.0), lambda acc, p: acc + shape(p["t"]) * p["w"])
+    density = touched.select(*keys, "cell", partial.alias("_d")).groupBy(*keys, "cell").agg(F.sum("_d").alias("density"))
     grid = span.select(*keys, "_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1)).alias("cell"))
     rows = grid.join(density, [*keys, "cell"], "left").select(
         *keys, (F.col("_lo") + F.col("cell") * GRID).alias("t"),
