@@ -45,8 +45,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of few numbers that a join may send to all tasks; about 64 MB.
-SENT_ROWS = 2_000_000
+#: Rows of one or two numbers that a join may send to all tasks: some 4 MB.
+SENT_ROWS = 250_000
 
 
 def sent_if_small(table: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
