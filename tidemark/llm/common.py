@@ -16,6 +16,8 @@ from tidemark.session import scratch_path
 #: Rows and bytes of one Arrow batch; one text alone may be larger.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Bytes of a row group of scratch tables.
+ROW_GROUP = 32 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,7 +43,8 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # small row groups: a writer holds one in memory, and texts fill the usual ones
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
